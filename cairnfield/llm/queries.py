@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, url_reputation
+from . import decontaminate, langid, line_dedup, simhash, url_reputation
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, mod n: what splits held-out rows off."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learnt where the remainder mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(3) == 1)
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.identify(spark, docs, model, ("doc_id", "held_out"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains."""
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -28,6 +40,12 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("mean", 6).alias("mean"), F.round("upper", 6).alias("upper"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of near-duplicates of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every document without lines that stand elsewhere before."""
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_chunks", "removed_lines")
@@ -96,8 +114,10 @@ FROM g JOIN documents USING (doc_id) GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_decontamination": op4_decontamination,
     "op6_url_reputation": op6_url_reputation,
+    "op7_simhash": op7_simhash,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_url_reputation": OP6_SQL, "op9_line_dedup": OP9_SQL}
