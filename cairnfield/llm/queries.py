@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, simhash, url_reputation
+from . import decontaminate, langid, line_dedup, simhash, toxicity, url_reputation, warc
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -28,6 +28,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, docs, model, ("doc_id", "held_out"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains."""
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -51,6 +57,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_chunks", "removed_lines")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt where the remainder mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(4) == 2).alias("held_out"))
+    model = toxicity.train(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(spark, docs, model, keep=("doc_id", "held_out"))
+
+
 #: What DuckDB's regular expressions call a word.
 _WORDS = r"list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _SHINGLES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) {} END"
@@ -115,9 +128,11 @@ FROM g JOIN documents USING (doc_id) GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
     "op4_decontamination": op4_decontamination,
     "op6_url_reputation": op6_url_reputation,
     "op7_simhash": op7_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_url_reputation": OP6_SQL, "op9_line_dedup": OP9_SQL}
