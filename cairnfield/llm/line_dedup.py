@@ -69,14 +69,19 @@ def dedup(docs: DataFrame, solo: int = 50) -> DataFrame:
     """
     names = docs.columns
     keyed = _key(docs)
-    parts = keyed.select("doc_id", "row_key", F.posexplode(chunks(F.col("text"), solo)).alias("j", "c"))
-    parts = parts.select("doc_id", "row_key", "j", "c.*").filter((F.trim("chunk") != "") & ((F.col("n_lines") > 1) | (F.size(F.split("chunk", SPACE_CLASS)) >= solo)))
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "j")
-    parts = stored(parts.withColumn("h", F.xxhash64("chunk")).withColumn("at", where).select("h", "at", "n_lines", "chunk"), "chunks")
+    counts = (F.trim("chunk") != "") & ((F.col("n_lines") > 1) | (F.size(F.split("chunk", SPACE_CLASS)) >= solo))
+    # Places and hashes of all chunks, without their texts.
+    parts = keyed.select("row_key", F.posexplode(chunks(F.col("text"), solo)).alias("j", "c")).select("row_key", "j", "c.*").filter(counts)
+    parts = stored(parts.select("row_key", "j", F.xxhash64("chunk").alias("h")), "places")
     # 1. Hashes that occur twice or more: counted before the shuffle, so a frequent chunk is one row a task.
     often = parts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    found = stored(parts.join(often, "h", "left_semi").groupBy("row_key").agg(F.collect_set("j").alias("js")), "found")
+    own = keyed.select("doc_id", "row_key", "text").join(found, "row_key")
+    cut = F.filter(F.transform(chunks(F.col("text"), solo), lambda c, j: F.struct(j.alias("j"), c.alias("c"))), lambda x: F.array_contains("js", x["j"]))
+    own = own.select("doc_id", "row_key", F.explode(cut).alias("x")).select("doc_id", "row_key", "x.j", "x.c.*")
+    found = stored(own.select(F.xxhash64("chunk").alias("h"), where.alias("at"), "n_lines", "chunk"), "repeated")
     # 2. Their texts, compared byte by byte as keys of an aggregation.
-    found = parts.join(often, "h", "left_semi")
     first = found.groupBy("h", "chunk").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # 3. All but the first place go.
     gone = found.join(first, ["h", "chunk"]).filter("at <> first")
