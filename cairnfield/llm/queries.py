@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, simhash, toxicity, url_reputation, warc
+from . import decontaminate, flac, langid, line_dedup, packing, simhash, toxicity, url_reputation, warc
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -34,6 +34,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's bytes as a FLAC stream, decoded again, and digests of both."""
+    return flac.digests(flac.to_media(table(spark, sf_dir, "documents")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains."""
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -141,6 +146,7 @@ FROM g JOIN documents USING (doc_id) GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
+    "op3_flac": op3_flac,
     "op4_decontamination": op4_decontamination,
     "op6_url_reputation": op6_url_reputation,
     "op7_simhash": op7_simhash,
