@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, langid, line_dedup, packing, simhash, toxicity, url_reputation, warc
+from . import decontaminate, flac, kneser_ney, langid, line_dedup, packing, simhash, toxicity, url_reputation, warc
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -44,6 +44,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text, learnt where the remainder mod 5 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(5) == 1).alias("held_out"))
+    model = kneser_ney.train(spark, docs.filter(~F.col("held_out")))
+    return kneser_ney.score(spark, docs, model, ("doc_id", "held_out"))
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality labels, by page_id, are the outcomes that hosts are judged by."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -148,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_flac": op3_flac,
     "op4_decontamination": op4_decontamination,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_url_reputation": op6_url_reputation,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
