@@ -136,7 +136,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
 
     epsilon stops when the sum of changes falls below it, at a job a round; without it the rounds are fixed. previous
     (node, rank) starts warm if its ranks sum up to more than 1/2; missing or non-positive ranks start at 1/n. The plan
-    is cut every fifth round.
+    is cut every second round.
     """
     nodes = nodes.select("node").distinct()
     n = nodes.count()
@@ -157,7 +157,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         flow = ranks.join(links, F.col("node") == F.col("source")).groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         lost = ranks.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         new = base.join(flow, F.col("node") == F.col("target"), "left").select("node", "dangling", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + lost.scalar() / n)).alias("rank"))
-        if epsilon is not None or k % 4 == 0:
+        if epsilon is not None or k % 2 == 0:
             new = cut(new)
         if epsilon is not None:
             change = new.join(ranks.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -46,17 +45,12 @@ def gate(sql: str | None) -> tuple[str, str | None]:
 
 
 class Surface:
-    """Tables that statements may read, under names of their own."""
+    """Tables that statements may read, as temporary views of their own names in the tables' session."""
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
         self.spark, self.tables = spark, dict(tables)
-        self._key = uuid.uuid4().hex[:12]
         for name, df in self.tables.items():
-            df.createOrReplaceTempView(f"v{self._key}_{name}")
-
-    def _bound(self, statement: str) -> str:
-        names = "|".join(map(re.escape, self.tables))
-        return re.sub(rf"(?i)\b(from|join|table|,)\s*\b({names})\b(?!\s*[.(])", lambda m: f"{m[1]} v{self._key}_{m[2].lower()} {'' if m[1].lower() == 'table' else m[2]}" if not re.match(r"(?i)table", m[1]) else f"{m[1]} v{self._key}_{m[2].lower()}", statement)
+            df.createOrReplaceTempView(name)
 
     def run(self, sql: str | None) -> Answer:
         """Plans a statement; nothing is computed yet, and errors are returned."""
@@ -64,7 +58,7 @@ class Surface:
         if error:
             return Answer(False, error)
         try:
-            return Answer(True, frame=self.spark.sql(self._bound(statement)))
+            return Answer(True, frame=self.spark.sql(statement))
         except Exception as e:  # noqa: BLE001  whatever is wrong with a statement is its answer
             return Answer(False, str(e).splitlines()[0])
 

@@ -48,7 +48,8 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 class Store:
     """Tables below a folder. A write makes a new directory and then points the table at it, so that readers see the
-    old state or the new one and a failed write changes nothing."""
+    old state or the new one and a failed write changes nothing. The state before the current one is kept until the next
+    write, as plans that were made from it may still have to run."""
 
     def __init__(self, spark: SparkSession, folder: str, version: int = VERSION) -> None:
         self.spark, self.folder, self.version = spark, folder.rstrip("/"), version
@@ -61,7 +62,10 @@ class Store:
         fs, at = self._fs(f"{self.folder}/{name}/current.json")
         if not fs.exists(at):
             return None
-        return json.loads(self.spark.read.text(f"{self.folder}/{name}/current.json", wholetext=True).first()[0])
+        return json.loads(self._text(fs, at))
+
+    def _text(self, fs, at) -> str:
+        return self.spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(at), "UTF-8")
 
     def replace(self, name: str, df: DataFrame, stamp: Stamp | None = None) -> None:
         """The whole table anew."""
@@ -71,13 +75,13 @@ class Store:
         fs, at = self._fs(f"{self.folder}/{name}/current.json")
         fs_new, tmp = self._fs(f"{self.folder}/{name}/.current-{uuid.uuid4().hex}")
         out = fs_new.create(tmp, True)
-        out.write(bytearray(json.dumps({"data": data, "version": self.version, "stamp": asdict(stamp) if stamp else None}).encode()))
+        out.write(bytearray(json.dumps({"data": data, "before": before and before["data"], "version": self.version, "stamp": asdict(stamp) if stamp else None}).encode()))
         out.close()
         if fs.exists(at):
             fs.delete(at, False)
         fs.rename(tmp, at)
-        if before:
-            old_fs, old = self._fs(before["data"])
+        if before and before.get("before"):
+            old_fs, old = self._fs(before["before"])
             old_fs.delete(old, True)
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], deleted: DataFrame | None = None, stamp: Stamp | None = None) -> None:
