@@ -77,7 +77,7 @@ def dedup(docs: DataFrame, solo: int = 50) -> DataFrame:
     # 1. Hashes that occur twice or more: counted before the shuffle, so a frequent chunk is one row a task.
     often = parts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     found = stored(parts.join(often, "h", "left_semi").groupBy("row_key").agg(F.collect_set("j").alias("js")), "found")
-    own = keyed.select("doc_id", "row_key", "text").join(found, "row_key")
+    own = keyed.select("doc_id", "row_key", "text").join(found.hint("merge"), "row_key")
     cut = F.filter(F.transform(chunks(F.col("text"), solo), lambda c, j: F.struct(j.alias("j"), c.alias("c"))), lambda x: F.array_contains("js", x["j"]))
     own = own.select("doc_id", "row_key", F.explode(cut).alias("x")).select("doc_id", "row_key", "x.j", "x.c.*")
     found = stored(own.select(F.xxhash64("chunk").alias("h"), where.alias("at"), "n_lines", "chunk"), "repeated")
@@ -88,7 +88,7 @@ def dedup(docs: DataFrame, solo: int = 50) -> DataFrame:
     gone = gone.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_set("at.j").alias("gone"), F.sum("n_lines").alias("lines"), F.count("*").alias("n"))
     # Equal rows give equal places, each as often as the row is there.
     gone = gone.select("row_key", "gone", (F.col("lines") * F.size("gone") / F.col("n")).cast("long").alias("removed_lines"))
-    joined = keyed.join(gone, "row_key", "left")
+    joined = keyed.join(gone.hint("merge"), "row_key", "left")
     kept = F.filter(chunks(F.col("text"), solo), lambda c, j: ~F.array_contains(F.col("gone"), j))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
     extra = [F.coalesce(F.size("gone"), F.lit(0)).alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines")]
