@@ -338,9 +338,14 @@ def _gather(docs: DataFrame, bits: int, keys_of: Callable[[Tokens], np.ndarray])
 
 
 def train(spark: SparkSession, docs: DataFrame) -> Model:
-    """Counts docs(text); a null text is an empty document. Ranges are as many as shuffle partitions, a power of 2."""
+    """Counts docs(text); a null text is an empty document.
+
+    Ranges are as many as shuffle partitions or, where there are more, as input partitions, rounded up to a power of 2:
+    so what a task merges doesn't grow with the corpus.
+    """
     folder = shared_dir(spark, "kneser-ney")
-    bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, 1).bit_length()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("text").rdd.getNumPartitions())
+    bits = max(ranges - 1, 1).bit_length()
 
     def merge_words(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
