@@ -68,13 +68,14 @@ def js(aliases: Mapping[str, str] | None = None) -> Column:
 
 
 def py(roots: Sequence[str] = ("", "src/")) -> Column:
-    """From the importer's package by dots, else from a source root; a package is its __init__."""
+    """From the importer's package by dots, else from a source root; an imported name may be a module of the
+    package, which comes first, and a package itself is its __init__."""
     s = F.col("source")
     dots = F.length(F.regexp_extract(s, r"^(\.*)", 1))
     rest = F.regexp_replace(F.regexp_replace(s, r"^\.+", ""), r"\.", "/")
     up = F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0)).cast("int"))
     near = joined(dirname(F.col("path")), F.concat(up, rest))
-    files = lambda base: F.concat(_endings(base, (".py", "/__init__.py")), F.flatten(F.transform("imported", lambda n: F.array(F.concat(base, F.lit("/"), n, F.lit(".py"))))))
+    files = lambda base: F.concat(F.transform("imported", lambda n: F.concat(base, F.lit("/"), n, F.lit(".py"))), _endings(base, (".py", "/__init__.py")))
     far = F.concat(*[files(joined(F.lit(r), rest)) for r in roots], files(joined(dirname(F.col("path")), rest)))
     return F.when(dots > 0, files(near)).otherwise(far)
 
@@ -113,7 +114,10 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: Mapping[str, str] | N
     imports(path, lang, source, imported, ...), files(path[, is_test]); declared(path, name) are packages by manifest
     directory. First path found wins (I1-I7); Go and Java packages expand to all their files (J10, J11).
     """
-    keyed = imports.withColumn("import_id", F.xxhash64("path", "source", *[c for c in ("line",) if c in imports.columns]))
+    single = (F.col("lang") == "python") & (F.size("imported") > 1)  # each name may be a module of its own
+    names = F.when(single, F.transform("imported", lambda n: F.array(n))).otherwise(F.array("imported"))
+    imports = imports.withColumn("one", F.explode(names)).withColumn("imported", F.col("one")).drop("one")
+    keyed = imports.withColumn("import_id", F.xxhash64("path", "source", F.array_join("imported", ","), *[c for c in ("line",) if c in imports.columns]))
     own = files.select(F.col("path").alias("target")).distinct()
     tried = keyed.select("import_id", F.posexplode(F.filter(candidates(aliases), lambda p: p.isNotNull())).alias("order", "target"))
     found = tried.join(own, "target").groupBy("import_id").agg(F.min_by("target", "order").alias("target"))

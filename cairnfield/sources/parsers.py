@@ -205,7 +205,7 @@ def _c_like(imports: str, exports: str, functions: str, public: Callable[[re.Mat
 java = _c_like(
     r"(?m)^\s*import\s+(?:static\s+)?(?P<source>[\w.]+?)(?P<all>\.\*)?\s*;",
     r"(?m)^[ \t]*(?P<mod>(?:public|protected|private|abstract|final|static|sealed)\s+)*(?P<kind>class|interface|enum|record)\s+(?P<name>\w+)",
-    r"(?m)^[ \t]*(?P<mod>(?:public|protected|private|static|final|synchronized|abstract)\s+)+(?P<ret>[\w<>\[\], ?]+)\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?:throws [\w., ]+)?\{",
+    r"(?m)(?:^|(?<=[{};]))[ \t]*(?P<mod>(?:public|protected|private|static|final|synchronized|abstract)\s+)+(?P<ret>[\w<>\[\], ?]+)\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?:throws [\w., ]+)?\{",
     lambda m: "private" not in m[0],
 )
 kotlin = _c_like(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +48,16 @@ def excluded(path: Column, more: Sequence[str] = ()) -> Column:
 def scan(spark: SparkSession, root: str, extensions: Sequence[str] | None = None, exclude: Sequence[str] = (), depth: int = MOST_DEPTH, guard: int = MOST_BYTES) -> DataFrame:
     """Path (below root), mtime, size, hash, line_count, lang, text, parse_mode, parse_mode_reason.
 
-    Files are read by Spark's binary reader, in parallel and from any file system. A file over `guard` bytes keeps its
+    Files are read by Spark's binary reader, in parallel and from any file system. That reader leaves out empty files;
+    below a local root they are added by name, elsewhere they are missing. A file over `guard` bytes keeps its
     metadata but has no text and is not parsed; one that isn't UTF-8 is decoded with replacement marks.
     """
     glob = "*.{" + ",".join(extensions or LANGUAGES) + "}"
+    columns = ["path", "modificationTime", "length", "content"]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    if empty := _empty_files(root, extensions or list(LANGUAGES)):
+        rows = [(p, datetime.fromtimestamp(t), 0, bytearray()) for p, t in empty]
+        raw = raw.select(*columns).union(spark.createDataFrame(rows, raw.select(*columns).schema))
     base = root.split("://", 1)[-1].split(":", 1)[-1] if "://" not in root and root.startswith("file:") else root.split("://", 1)[-1]
     below = F.regexp_replace(F.regexp_extract("path", "^[a-z0-9]+:/*(/.*)$", 1), "^/+", "/")
     rel = F.expr(f"substring(p, {len(base.rstrip('/')) + 2})")
@@ -64,6 +71,20 @@ def scan(spark: SparkSession, root: str, extensions: Sequence[str] | None = None
     )
 
 
+def _empty_files(root: str, extensions: Sequence[str]) -> list[tuple[str, float]]:
+    """(URI, time) of empty files below a local root."""
+    local = root.removeprefix("file://").removeprefix("file:") if root.startswith("file:") else root
+    if "://" in local or not os.path.isdir(local):
+        return []
+    out = []
+    for folder, _, names in os.walk(local):
+        for n in names:
+            p = os.path.join(folder, n)
+            if n.rpartition(".")[2] in extensions and os.path.getsize(p) == 0:
+                out.append(("file:" + p, os.path.getmtime(p)))
+    return out
+
+
 def classified(files: DataFrame, directories: Mapping[str, str] | None = None, entries: Sequence[str] = ()) -> DataFrame:
     """file_role, directory_role, is_test, is_mainline and is_entry of files(path, text)."""
     role, where = paths.role(F.col("path")), paths.directory_role(F.col("path"), dict(directories or {}))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.comments import stripped
+from .lineage import cut
 from .operators import diff, findings, graph, history, scoring, symbols
 from .plans import report, resolve
 from .plans.sql import Answer, Surface
@@ -17,7 +18,8 @@ from .sources import git, parsers, scan
 
 
 class Workspace:
-    """Tables of a tree: files, records (parsed), imports (resolved), edges; all lazy, and cached once asked for.
+    """Tables of a tree: files, records (parsed), imports (resolved), edges; lazy, made once when first asked for, and
+    checkpointed, so that what builds on them has a short plan and survives lost executors.
 
     commits and commit_files, blame may be given; the command line reads them from git.
     """
@@ -31,18 +33,18 @@ class Workspace:
     @cached_property
     def files(self) -> DataFrame:
         raw = scan.scan(self.spark, self.root, exclude=self.config["exclude"])
-        return scan.classified(raw, self.config["directories"], self.config["entries"]).withColumn("node", F.col("path")).cache()
+        return cut(scan.classified(raw, self.config["directories"], self.config["entries"]).withColumn("node", F.col("path")))
 
     @cached_property
     def records(self) -> DataFrame:
-        return parsers.parse(self.files).cache()
+        return cut(parsers.parse(self.files))
 
     @cached_property
     def imports(self) -> DataFrame:
         own = parsers.import_records(self.records)
         extra = resolve.implicit_imports(self.files)
         more = extra.select("path", "lang", "source", "imported", "uses_all", F.lit(False).alias("re_export"), F.lit(True).alias("is_lazy"), F.lit(False).alias("is_type_only"), F.lit(0).alias("line"))
-        return resolve.resolve(own.unionByName(more).dropDuplicates(["path", "source", "line"]), self.files, self.aliases, self.go_module).cache()
+        return cut(resolve.resolve(own.unionByName(more).dropDuplicates(["path", "source", "line"]), self.files, self.aliases, self.go_module))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -54,15 +56,15 @@ class Workspace:
         near = resolve.same_package(self.files, self.exports, calls).select(F.col("source").alias("path"), "target", "confidence", "tier", "method")
         rest = more.union(near).groupBy(F.col("path").alias("source"), "target").agg(F.max("confidence").alias("confidence"), F.min("tier").alias("tier"), F.min("method").alias("method"))
         rest = rest.join(first, ["source", "target"], "left_anti").select("source", "target", "confidence", "tier", "method", F.lit(False).alias("is_lazy"), F.lit(False).alias("type_only"))
-        return first.select(*rest.columns).union(rest).cache()
+        return cut(first.select(*rest.columns).union(rest))
 
     @cached_property
     def exports(self) -> DataFrame:
-        return parsers.export_records(self.records).filter("is_exported").cache()
+        return parsers.export_records(self.records).filter("is_exported")
 
     @cached_property
     def functions(self) -> DataFrame:
-        return parsers.function_records(self.records).cache()
+        return parsers.function_records(self.records)
 
     def _start(self, files: Sequence[str]) -> DataFrame:
         return self.spark.createDataFrame([(f, f) for f in files], "root string, node string")
@@ -106,7 +108,7 @@ class Workspace:
     def unresolved(self) -> DataFrame:
         left = self.imports.filter("target IS NULL AND NOT is_external AND source RLIKE '^[.@~/]|::|^[a-z_]+\\\\.'")
         reason = findings.unresolved_reason(F.col("source"), F.lit(""), bool(self.aliases))
-        out = left.filter(F.col("source").rlike(r"^(\.|@/|~/|/)") | (F.col("lang").isin("rust") & F.col("source").rlike("^(crate|self|super)::"))).select(F.concat(F.lit("unresolved:"), "path").alias("id"), F.col("path").alias("file"), "source", "line", reason.alias("reason"))
+        out = left.filter(F.col("source").rlike(r"^(\.|@/|~/|/)") | (F.col("lang").isin("rust") & F.col("source").rlike("^(crate|self|super)::"))).select(F.concat(F.lit("unresolved:"), "path").alias("id"), F.col("path").alias("file"), "source", "line", reason.alias("reason")).distinct()
         return scan.not_ignored(out, self.config["ignore"]["findings"])
 
     def orphans(self) -> DataFrame:
