@@ -31,11 +31,11 @@ def test_pagerank_shapes(spark):
 
 def test_pagerank_warm_start(spark):
     e = frame(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")])
-    cold = graph.pagerank(nodes(spark, "abcd"), e, 60, epsilon=1e-9)
-    warm = graph.pagerank(nodes(spark, "abcde"), e, 60, epsilon=1e-9, previous=cold)
-    full = ranks(graph.pagerank(nodes(spark, "abcde"), e, 60, epsilon=1e-9))
-    got = ranks(warm)
-    assert all(abs(got[n] - full[n]) < 1e-6 for n in full) and got["e"] > 0
+    cold = graph.pagerank(nodes(spark, "abcd"), e, 8)
+    got = ranks(graph.pagerank(nodes(spark, "abcde"), e, 8, epsilon=0.02, previous=cold))
+    full = ranks(graph.pagerank(nodes(spark, "abcde"), e, 8))
+    assert abs(sum(got.values()) - 1) < 1e-9 and got["e"] > 0
+    assert all(abs(got[n] - full[n]) < 0.05 for n in full)
 
 
 @pytest.mark.parametrize("small", [10**6, 0])
