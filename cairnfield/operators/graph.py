@@ -135,8 +135,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     """G1: (node, rank). Self-loops and unknown ends are dropped, parallel edges count once, dangling mass is spread.
 
     epsilon stops when the sum of changes falls below it, at a job a round; without it the rounds are fixed. previous
-    (node, rank) starts warm if its ranks sum up to more than 1/2; missing or non-positive ranks start at 1/n. The plan
-    is cut every second round.
+    (node, rank) starts warm if its ranks sum up to more than 1/2; missing or non-positive ranks start at 1/n. A cold
+    start of fixed rounds goes by power_series, any other by rounds over all nodes.
     """
     nodes = nodes.select("node").distinct()
     n = nodes.count()
@@ -144,9 +144,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         return nodes.withColumn("rank", F.lit(0.0))
     e = edges.filter("source <> target").select("source", "target").distinct()
     e = e.join(nodes.withColumnRenamed("node", "source"), "source", "left_semi").join(nodes.withColumnRenamed("node", "target"), "target", "left_semi")
-    out = e.groupBy("source").agg(F.count("*").alias("out"))
-    links = cut(e.join(out, "source"))
-    base = cut(nodes.join(out, nodes.node == out.source, "left").select("node", F.col("out").isNull().alias("dangling")))
+    links = cut(e.join(e.groupBy("source").agg(F.count("*").alias("out")), "source"))
+    base = nodes.join(links.select(F.col("source").alias("node"), F.lit(False).alias("dangling")).distinct(), "node", "left")
+    base = cut(base.select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")))
+    if epsilon is None and previous is None:
+        return power_series(base, links, n, rounds, damping)
     ranks = base.withColumn("rank", F.lit(1.0 / n))
     if previous is not None and (previous.agg(F.sum("rank")).first()[0] or 0) > 0.5:
         p = previous.select("node", F.col("rank").alias("p"))
@@ -168,6 +170,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return ranks.select("node", "rank")
 
 
+def power_series(base: DataFrame, links: DataFrame, n: int, rounds: int, damping: float) -> DataFrame:
+    """(node, rank) after fixed rounds from a uniform start, of base(node, dangling) and links(source, target, out).
+
+    What a round adds to all nodes alike, teleport and dangling mass, is one number. So the ranks are a weighted sum of
+    the terms v(j) = (damping x transition)^j 1, and a round is a join and an aggregation alone, over nodes that links
+    still reach. The weights follow from the dangling mass of each term, one number a round, by a recurrence on the driver.
+    """
+    term = base.select("node", F.lit(1.0).alias("v"))
+    terms = term.select("node", F.lit(0).alias("j"), "v")
+    share = links.select(F.col("source").alias("node"), "target", (damping / F.col("out")).alias("share"))
+    for j in range(1, rounds + 1):
+        term = cut(term.join(share, "node").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("v") * F.col("share")).alias("v")))
+        terms = terms.union(term.select("node", F.lit(j).alias("j"), "v"))
+    mass = dict(terms.join(base.filter("dangling").select("node"), "node", "left_semi").groupBy("j").agg(F.sum("v")).collect())
+    added: list[float] = []
+    for k in range(rounds):
+        lost = sum(added[k - 1 - j] * mass.get(j, 0.0) for j in range(k)) + mass.get(k, 0.0) / n
+        added.append(((1 - damping) + damping * lost) / n)
+    weights = [*reversed(added), 1.0 / n]
+    return terms.groupBy("node").agg(F.sum(F.col("v") * F.get(F.array(*map(F.lit, weights)), F.col("j"))).alias("rank"))
+
+
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """Edges that count for cycles: neither lazy nor tier3."""
     return edges.filter("NOT is_lazy AND tier <> 'tier3'").select("source", "target")

@@ -29,6 +29,14 @@ def test_pagerank_shapes(spark):
     assert graph.pagerank(nodes(spark, []), frame(spark, [])).count() == 0
 
 
+def test_pagerank_series_equals_rounds(spark):
+    e, v = frame(spark, [tuple(p) for p in ("ab", "bc", "ca", "cd", "ed", "ff", "ga")]), nodes(spark, "abcdefgh")
+    series, loop = ranks(graph.pagerank(v, e, 6)), ranks(graph.pagerank(v, e, 6, epsilon=0.0))
+    assert series == pytest.approx(loop, abs=1e-12) and sum(series.values()) == pytest.approx(1)
+    assert ranks(graph.pagerank(v, e, 0)) == pytest.approx({k: 1 / 8 for k in "abcdefgh"})
+    assert ranks(graph.pagerank(v, frame(spark, [("h", "h")]), 3)) == pytest.approx({k: 1 / 8 for k in "abcdefgh"})
+
+
 def test_pagerank_warm_start(spark):
     e = frame(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")])
     cold = graph.pagerank(nodes(spark, "abcd"), e, 8)
