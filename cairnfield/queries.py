@@ -599,11 +599,12 @@ _STABLE = f"""{_SCC}, {_DEGREE}, tested AS (SELECT DISTINCT target AS node FROM
 stab AS (SELECT node, path, least(100, greatest(0, 45 + CASE WHEN node IN (SELECT node FROM tested) THEN 15 ELSE 0 END + CASE WHEN fan_in < 5 THEN 15 WHEN fan_in > 20 THEN -10 ELSE 0 END + CASE WHEN is_mainline THEN 0 ELSE -10 END + CASE WHEN node IN (SELECT node FROM member) THEN -15 ELSE 0 END + CASE WHEN file_role = 'config' THEN 5 ELSE 0 END)) AS score FROM files JOIN deg USING (node))"""
 
 
-def stability(spark: SparkSession, d: str) -> DataFrame:
+def stability(spark: SparkSession, d: str, loops: DataFrame | None = None) -> DataFrame:
+    """Scores of all files; loops(source, target) are the edges that count for cycles."""
     f, e = _base(spark, d)
     tests = f.filter("is_test").select(F.col("node").alias("source"))
     tested = e.join(tests, "source", "left_semi").select(F.col("target").alias("node")).distinct().withColumn("tested", F.lit(True))
-    looped = graph.scc(_strict(spark, d)).select("node").withColumn("looped", F.lit(True))
+    looped = graph.scc(_strict(spark, d) if loops is None else loops).select("node").withColumn("looped", F.lit(True))
     j = f.join(graph.degrees(f, e).select("node", "fan_in"), "node").join(tested, "node", "left").join(looped, "node", "left")
     s = scoring.stability_score(F.coalesce("tested", F.lit(False)), F.col("fan_in"), F.col("is_mainline"), F.coalesce("looped", F.lit(False)), F.col("file_role"))
     return j.select("node", "path", s.alias("score"))

@@ -1,0 +1,51 @@
+"""Queries over the whole job where the registered ones take a part of the tables or less than the operator's depth.
+
+The narrow queries and their SQL stay as they are; these stand beside them and have no SQL, as the recursive closure in SQL
+is too slow on whole tables. tests/test_whole.py holds them against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import queries as base
+from .operators import graph
+from .sources import domain
+
+QUERIES: dict[str, base.Query] = {}
+
+
+def whole(f: base.Query) -> base.Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _cycle_edges(spark, d):
+    return graph.cycle_edges(domain.edges(spark, d))
+
+
+@whole
+def g7_scc_all(spark, d):
+    return graph.scc(_cycle_edges(spark, d))
+
+
+@whole
+def g8_cycles_all(spark, d):
+    return graph.cycles(_cycle_edges(spark, d))
+
+
+@whole
+def g8b_cycle_meta_all(spark, d):
+    return g7_scc_all(spark, d).agg(F.countDistinct("scc").alias("scc_count"), F.count("*").alias("members"))
+
+
+@whole
+def r3_stability_all(spark, d):
+    s = base.stability(spark, d, _cycle_edges(spark, d))
+    return s.withColumn("assessment", base.scoring.stability_level(F.col("score")))
+
+
+@whole
+def a22_mean_stability_all(spark, d):
+    s = base.stability(spark, d, _cycle_edges(spark, d))
+    return s.agg(F.round(F.avg("score"), 2).alias("mean_stability"), F.sum((F.col("score") < 40).cast("long")).alias("fragile"))
