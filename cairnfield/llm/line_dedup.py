@@ -7,6 +7,9 @@ another place in another document is cut at the same places again:
 - a chunk ends after line i if the rolling hash there is smaller than at both neighbours, which puts two lines into a
   chunk at least (but at a document's ends) and three on average;
 - a line of `solo` words or more is a wrapped paragraph, and a chunk of its own.
+
+A chunk that lies across the edge of a passage stands only once, so dedup() leaves parts of a passage and may miss a short
+one. dedup_passages() compares runs of lines as well, from every line on, and misses no passage of `least` words.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from .common import SPACE_CLASS, let, stored
 
 #: Fixed values of the rolling hash.
 MULTIPLIER, MODULUS = 1000003, 2147483647
+#: What counts as a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _key(df: DataFrame) -> DataFrame:
@@ -93,3 +98,98 @@ def dedup(docs: DataFrame, solo: int = 50) -> DataFrame:
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
     extra = [F.coalesce(F.size("gone"), F.lit(0)).alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines")]
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], *extra)
+
+
+def _pieces(text: Column, least: int) -> Column:
+    """array<struct<start, end, run, h>>: places (lines from 0) and hashes of what may stand elsewhere.
+
+    Runs: from every line that isn't blank on, and up to every such line, the fewest lines that have `least` words
+    together. So every line of a passage of `least` words is in a run inside it. Blank lines don't count; as each other
+    line has a word, no run has more than `least` lines. Chunks: those of fewer words, as dedup() takes them.
+    """
+
+    def length(lines: Column) -> Column:
+        """Of facts in order: how many, from the first on, have `least` words; null if all together have fewer."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+        got = F.aggregate(lines, start, lambda a, x: F.when(a["n"] >= least, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), (a["k"] + 1).alias("k"))))
+        return let(got, lambda a: F.when(a["n"] >= least, a["k"]))
+
+    def piece(start: Column, end: Column, run: bool, h: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(run).alias("run"), h.alias("h"))
+
+    def runs(full: Column) -> Column:
+        def spans(_: Column, i: Column) -> Column:
+            back = F.greatest(i - (least - 1), F.lit(0))
+            after, before = length(F.slice(full, i + 1, F.lit(least))), length(F.reverse(F.slice(full, back + 1, i - back + 1)))
+            return F.array(F.struct(i.alias("at"), after.alias("k")), F.struct((i - before + 1).alias("at"), before.alias("k")))
+
+        def place(x: Column) -> Column:
+            own = F.slice(full, x["at"] + 1, x["k"])
+            return piece(F.get(full, x["at"])["i"], F.get(full, x["at"] + x["k"] - 1)["i"], True, F.xxhash64(F.transform(own, lambda y: y["h"])))
+
+        found = F.array_distinct(F.filter(F.flatten(F.transform(full, spans)), lambda x: x["k"].isNotNull()))
+        return F.transform(found, place)
+
+    def from_lines(lines: Column) -> Column:
+        facts = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(WORD)).alias("n"), F.xxhash64(x).alias("h")))
+
+        def both(facts: Column) -> Column:
+            def from_ends(ends: Column) -> Column:
+                def chunk(end: Column, j: Column) -> Column:
+                    start = F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
+                    return let(F.array_join(F.slice(lines, start + 1, end - start + 1), "\n"), lambda c: F.when(few(start, end) & counts(c, end - start + 1), piece(start, end, False, F.xxhash64(c))))
+
+                return F.filter(F.transform(ends, chunk), lambda x: x.isNotNull())
+
+            def few(start: Column, end: Column) -> Column:
+                return F.aggregate(F.slice(facts, start + 1, end - start + 1), F.lit(0), lambda a, x: a + x["n"]) < least
+
+            def counts(c: Column, n: Column) -> Column:
+                return (F.trim(c) != "") & ((n > 1) | (F.size(F.split(c, SPACE_CLASS)) >= least))
+
+            return F.concat(let(F.filter(facts, lambda x: x["n"] > 0), runs), let(_ends(lines, least), from_ends))
+
+        return let(facts, both)
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), from_lines)
+
+
+def dedup_passages(docs: DataFrame, least: int = 50) -> DataFrame:
+    """docs with removed_lines, and text without the lines that stand in an earlier copy of their passage.
+
+    A line goes if it is in a run of consecutive lines, of `least` words or more, that stands elsewhere before; runs are
+    compared without their blank lines. It goes as well if dedup() finds its chunk elsewhere before. Earlier is: in the
+    row of the smallest doc_id (null is largest), there the first; a copy that overlaps the first one stays. Runs and
+    chunks are compared by SHA-256 after a shorter hash has found them. Equal rows, null texts and other columns are
+    treated as by dedup().
+    """
+    names = docs.columns
+    keyed = _key(docs)
+    places = stored(keyed.select("row_key", F.explode(_pieces(F.col("text"), least)).alias("p")).select("row_key", "p.*"), "places")
+    often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    found = stored(places.join(often, "h", "left_semi").groupBy("row_key").agg(F.collect_set(F.struct("start", "end", "run")).alias("ps")), "found")
+    own = keyed.select("doc_id", "row_key", "text").join(found.hint("merge"), "row_key")
+
+    def keys(lines: Column) -> Column:
+        def key(p: Column) -> Column:
+            part = F.slice(lines, p["start"] + 1, p["end"] - p["start"] + 1)
+            full = F.when(p["run"], F.filter(part, lambda x: x.rlike(WORD))).otherwise(part)
+            return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.concat(p["run"].cast("string"), F.sha2(F.array_join(full, "\n"), 256)).alias("key"))
+
+        return F.transform("ps", key)
+
+    own = own.select("doc_id", "row_key", F.explode(let(F.split("text", "\n", -1), keys)).alias("x"))
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "x.start", "x.end")
+    found = stored(own.select("x.key", at.alias("at")), "repeated")
+    first = found.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    gone = found.join(first, "key").filter("at.row_key <> first.row_key OR at.start > first.end")
+    gone = gone.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_set(F.struct("at.start", "at.end")).alias("spans"))
+    lost = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"]))))
+    joined = keyed.join(gone.select("row_key", lost.alias("gone")).hint("merge"), "row_key", "left")
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n", -1), left))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"))

@@ -81,6 +81,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_chunks", "removed_lines")
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every document without passages that stand elsewhere before, wherever chunks would cut them."""
+    return line_dedup.dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt where the remainder mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(4) == 2).alias("held_out"))
@@ -160,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op9_passage_dedup": op9_passage_dedup,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_url_reputation": OP6_SQL, "op9_line_dedup": OP9_SQL}

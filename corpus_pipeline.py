@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that stand elsewhere before; n_chars follows the text. No document goes, even if it is empty now."""
-    out = line_dedup.dedup(docs.select(*COLUMNS))
-    return out.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    out = line_dedup.dedup_passages(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
