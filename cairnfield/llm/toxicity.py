@@ -7,7 +7,7 @@ prior pi and logistic loss l, the risk of a classifier g over the whole corpus i
 
 the second term being the negatives' risk, estimated from U and corrected by P; where the estimate falls below zero the
 step goes the other way, which keeps the model from memorising P. Features are a text's distinct words and word
-beginnings, hashed, as log counts weighted by inverse document frequency and scaled to length 1.
+beginnings, and the n-grams of characters in long words and in scripts without spaces, hashed, as log counts weighted by inverse document frequency and scaled to length 1.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 #: Lengths, in bytes, of the word beginnings that are features beside the words themselves.
 HEADS = (4, 6)
+#: Longer words, in bytes, are read by n-grams of so many characters, from each character on; other words from each character
+#: of three bytes or more on, which is where scripts without spaces are. AHEAD bytes hold the longest n-gram.
+LONG, GRAMS, AHEAD = 40, (2, 3, 4), 16
 #: Multiplier of the rolling hash, and of the final mix.
 PRIME, GOLDEN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,12 +38,12 @@ _LETTER[128:] = np.arange(128, 256)
 
 
 def _hashes(data: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, bucket) of every word and of the beginnings of longer ones, in the bytes data."""
+    """(place, bucket) of every word, of the beginnings of longer ones and of n-grams, in the bytes data."""
     fold = _LETTER[data]
     inside = np.concatenate([[False], fold > 0, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     at, size = edge[::2], edge[1::2] - edge[::2]
-    places, buckets = [], []
+    places, buckets = map(list, _grams(data, fold, at[size > LONG], size[size > LONG], bits))
     h = np.full(len(at), 0xCBF29CE484222325, np.uint64)
     k = 0
 
@@ -58,20 +61,51 @@ def _hashes(data: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         h = (h ^ fold[at + k].astype(np.uint64)) * PRIME
         h ^= h >> np.uint64(29)
         k += 1
-        if k > 40:  # what is left are words of over 40 bytes: their first 40 stand for them
+        if k > LONG:  # what is left are words of over 40 bytes: beside their n-grams, their first 41 are a feature
             out(np.ones(len(at), bool), 1)
             break
     return np.concatenate(places or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.int64)])
 
 
+def _grams(data: np.ndarray, fold: np.ndarray, at: np.ndarray, size: np.ndarray, bits: int) -> tuple[list, list]:
+    """(places, buckets), an array per length in GRAMS, of n-grams of characters; at and size are the long words'."""
+    within = np.zeros(len(data) + 1, np.int32)
+    within[at] += 1
+    within[at + size] -= 1
+    begins = (data & 0xC0) != 0x80
+    use = begins & (fold > 0) & ((data >= 0xE0) | (np.cumsum(within[:-1]) > 0))
+    if not use.any():
+        return [], []
+    starts = np.flatnonzero(begins)
+    code = fold[starts].astype(np.uint64)
+    after = np.append(starts[1:], len(data))
+    for k in range(1, 4):
+        more = starts + k < after
+        code[more] = (code[more] << np.uint64(8)) | data[starts[more] + k].astype(np.uint64)
+    i = np.flatnonzero(use[starts])
+    h = np.full(len(i), 0x84222325CBF29CE4, np.uint64)
+    places, buckets = [], []
+    for n in range(1, max(GRAMS) + 1):
+        live = i + n <= len(code)
+        live[live] = code[i[live] + n - 1] > 0
+        i, h = i[live], h[live]
+        h = (h ^ code[i + n - 1]) * PRIME
+        h ^= h >> np.uint64(29)
+        if n in GRAMS:
+            places.append(starts[i])
+            buckets.append((((h + np.uint64(n)) * GOLDEN) >> np.uint64(64 - bits)).astype(np.int64))
+    return places, buckets
+
+
 def features(texts: list[str | None], bits: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CSR (indptr, buckets, counts) of the texts; known, by bucket, tells which buckets count."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     part: list[bytes] = []
+    ahead: list[int] = []
     pending, size = [], 0
 
     def flush() -> None:
-        nonlocal part, pending, size
+        nonlocal part, ahead, pending, size
         if not pending:
             return
         starts = np.cumsum([0, *map(len, part)])
@@ -80,6 +114,9 @@ def features(texts: list[str | None], bits: int, known: np.ndarray | None = None
             own = known[bucket]
             place, bucket = place[own], bucket[own]
         doc = np.searchsorted(starts, place, "right") - 1
+        if any(ahead):  # what begins in the bytes ahead is the next part's
+            own = place < (starts[1:] - 1 - np.array(ahead))[doc]
+            place, bucket, doc = place[own], bucket[own], doc[own]
         keys, counts = np.unique((doc << bits) | bucket, return_counts=True)
         cut = np.searchsorted(keys, np.arange(len(part) + 1) << bits)
         for i, r in enumerate(pending):
@@ -90,15 +127,18 @@ def features(texts: list[str | None], bits: int, known: np.ndarray | None = None
                 out[r] = own
             else:
                 out.append(own)
-        part, pending, size = [], [], 0
+        part, ahead, pending, size = [], [], [], 0
 
     for r, t in enumerate(texts):
         data = (t or "").encode("utf-8", "surrogatepass")
         at = 0
         while True:
             end = len(data) if len(data) - at <= BLOCK else max(data.rfind(b" ", at, at + BLOCK), data.rfind(b"\n", at, at + BLOCK)) + 1
-            end = at + BLOCK if end <= at and len(data) > at else end
-            part.append(data[at:end] + b"\n")
+            inside = end <= at and len(data) > at
+            end = at + BLOCK if inside else end
+            more = data[end : end + AHEAD] if inside else b""
+            part.append(data[at:end] + more + b"\n")
+            ahead.append(len(more))
             pending.append(r)
             size += end - at
             at = end
