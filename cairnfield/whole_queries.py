@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import queries as base
-from .operators import graph
+from .functions.similarity import dice, jaccard, name_tokens
+from .operators import findings, graph
 from .sources import domain
 
 QUERIES: dict[str, base.Query] = {}
@@ -49,3 +50,18 @@ def r3_stability_all(spark, d):
 def a22_mean_stability_all(spark, d):
     s = base.stability(spark, d, _cycle_edges(spark, d))
     return s.agg(F.round(F.avg("score"), 2).alias("mean_stability"), F.sum((F.col("score") < 40).cast("long")).alias("fragile"))
+
+
+@whole
+def j22_best_symbol_all(spark, d):
+    wanted = domain.import_records(spark, d).select(F.col("source").alias("importer"), F.col("imported").alias("name")).distinct()
+    return findings.best_symbol(wanted, domain.export_records(spark, d), domain.files(spark, d))
+
+
+@whole
+def f6_name_similarity_all(spark, d):
+    """Pairs of names with a token in common; every other pair is 0 alike, by both measures, and has no row."""
+    n = domain.table(spark, d, "part").select(F.col("p_name").alias("a")).distinct().withColumn("x", name_tokens(F.col("a")))
+    left = n.select("a", "x", F.explode("x").alias("t"))
+    p = left.join(left.select(F.col("a").alias("b"), F.col("x").alias("y"), "t"), "t").filter("a < b").drop("t").distinct()
+    return p.select("a", "b", F.round(dice(F.col("x"), F.col("y")), 6).alias("dice"), F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
