@@ -623,15 +623,22 @@ def a22_mean_stability(spark, d):
 _RADIUS2 = _levels_sql(2, "w.node IN (SELECT node FROM files WHERE is_entry)", "SELECT node, node, 0 FROM files")
 
 
-def composite(spark: SparkSession, d: str) -> DataFrame:
+def composite(spark: SparkSession, d: str, depth: int = 2) -> DataFrame:
+    """Dimensions of every file's risk, from its dependents up to depth."""
     f, e = _base(spark, d)
-    r = graph.impact_radius(f, e, f.select(F.col("node").alias("root"), "node"), 2).join(f.select("node", "package", "is_test", "is_entry"), "node")
+    r = graph.impact_radius(f, e, f.select(F.col("node").alias("root"), "node"), depth).join(f.select("node", "package", "is_test", "is_entry"), "node")
     per = r.groupBy("root").agg(F.count("*").alias("impact"), F.countDistinct("package").alias("prefixes"), F.sum(F.col("is_test").cast("long")).alias("tests"), F.sum(F.col("is_entry").cast("long")).alias("routes"))
     j = f.join(per.withColumnRenamed("root", "node"), "node", "left").fillna(0, ["impact", "prefixes", "tests", "routes"])
     risk = scoring.composite_risk(F.col("is_entry"), F.col("routes"), F.col("prefixes"), F.col("tests"), F.col("impact"), F.col("path"), F.col("is_mainline"))
     return j.select("node", "file_role", "directory_role", "is_mainline", "impact", "tests", *[c.alias(k) for k, c in risk.items()])
 
 
+def diff_summary(c: DataFrame) -> DataFrame:
+    """Counts and severity of the changed files, rows of composite()."""
+    n = c.agg(F.count("*").alias("changed"), F.sum(F.col("is_mainline").cast("long")).alias("mainline"), F.max("impact").alias("max_impact"), F.max("tests").alias("max_tests"), F.max("score").alias("max_score"), F.sum((scoring.file_severity(F.col("impact"), F.col("tests")) == "high").cast("long")).alias("high_files"), F.sum((F.col("score") >= 6).cast("long")).alias("high_composite"))
+    return n.withColumn("severity", scoring.diff_severity(F.col("high_files"), F.col("max_tests"), F.lit(0), F.col("high_composite"), F.col("mainline"), F.col("max_impact"), F.lit(0), F.col("max_score")))
+
+
 _COMP = f"""{_RADIUS2}, per AS (SELECT root, count(*) AS impact, count(DISTINCT package) AS prefixes, count(*) FILTER (is_test) AS tests, count(*) FILTER (is_entry) AS routes FROM seen JOIN files USING (node) WHERE level > 0 GROUP BY root),
 j AS (SELECT f.*, coalesce(impact, 0) AS impact, coalesce(prefixes, 0) AS prefixes, coalesce(tests, 0) AS tests, coalesce(routes, 0) AS routes FROM files f LEFT JOIN per ON per.root = f.node),
 dims AS (SELECT node, file_role, directory_role, is_mainline, impact, tests, CASE WHEN is_entry THEN 3 WHEN routes >= 5 THEN 2 WHEN routes >= 1 THEN 1 ELSE 0 END AS flow, CAST(least(prefixes, 3) AS INT) AS crossing, CASE WHEN tests = 0 AND impact >= 3 THEN 3 WHEN tests = 0 AND impact > 0 THEN 2 WHEN tests IN (1, 2) THEN 1 ELSE 0 END AS test_gap,
@@ -647,9 +654,7 @@ def r7_composite_risk(spark, d):
 @query(with_ctes("files edges", f""", {_COMP}, c AS (SELECT * FROM comp WHERE node < 40), n AS (SELECT count(*) AS changed, count(*) FILTER (is_mainline) AS mainline, max(impact) AS max_impact, max(tests) AS max_tests, CAST(max(score) AS INT) AS max_score, count(*) FILTER (impact >= 10 OR tests >= 5) AS high_files, count(*) FILTER (score >= 6) AS high_composite FROM c)
 SELECT *, CASE WHEN high_files > 0 OR max_tests >= 5 OR high_composite > 0 THEN 'high' WHEN mainline > 0 AND (max_tests > 0 OR max_impact >= 1 OR max_score >= 3) THEN 'medium' ELSE 'low' END AS severity FROM n""", True))
 def a15_diff_summary(spark, d):
-    c = composite(spark, d).filter("node < 40")
-    n = c.agg(F.count("*").alias("changed"), F.sum(F.col("is_mainline").cast("long")).alias("mainline"), F.max("impact").alias("max_impact"), F.max("tests").alias("max_tests"), F.max("score").alias("max_score"), F.sum((scoring.file_severity(F.col("impact"), F.col("tests")) == "high").cast("long")).alias("high_files"), F.sum((F.col("score") >= 6).cast("long")).alias("high_composite"))
-    return n.withColumn("severity", scoring.diff_severity(F.col("high_files"), F.col("max_tests"), F.lit(0), F.col("high_composite"), F.col("mainline"), F.col("max_impact"), F.lit(0), F.col("max_score")))
+    return diff_summary(composite(spark, d).filter("node < 40"))
 
 
 @query(with_ctes("files", """, k AS (SELECT CASE WHEN file_role = 'docs' THEN 'docs' WHEN file_role = 'config' THEN 'config' WHEN file_role = 'test' THEN 'tests' WHEN file_role = 'script' THEN 'scripts' ELSE 'code' END AS k FROM files WHERE node < 40 AND directory_role NOT IN ('reference', 'archive')),

@@ -65,3 +65,57 @@ def f6_name_similarity_all(spark, d):
     left = n.select("a", "x", F.explode("x").alias("t"))
     p = left.join(left.select(F.col("a").alias("b"), F.col("x").alias("y"), "t"), "t").filter("a < b").drop("t").distinct()
     return p.select("a", "b", F.round(dice(F.col("x"), F.col("y")), 6).alias("dice"), F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+#: The reference's depth of the impact that it precomputes for every file.
+DEPTH = 5
+
+
+def _changed(spark, d, rows):
+    """The rows of files that changed: those with a line of the largest quantity, as in j15_origin."""
+    changed = domain.table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("node"))
+    return rows.join(changed.distinct(), "node", "left_semi")
+
+
+@whole
+def g6_all_files_impact_all(spark, d):
+    f, e = base._base(spark, d)
+    r = graph.impact_radius(f, e, f.select(F.col("node").alias("root"), "node"), DEPTH)
+    return r.groupBy("root").agg(F.sum((F.col("level") == 1).cast("long")).alias("direct"), F.count("*").alias("reached"))
+
+
+@whole
+def r7_composite_risk_all(spark, d):
+    return base.composite(spark, d, DEPTH).drop("file_role", "directory_role", "is_mainline")
+
+
+@whole
+def g11_entry_paths_all(spark, d):
+    f, e = base._base(spark, d)
+    return graph.entry_paths(f, e, base._hub(e), DEPTH).withColumn("rank", F.col("rank").cast("long"))
+
+
+@whole
+def g12_affected_routes_all(spark, d):
+    f, e = base._base(spark, d)
+    routes = f.filter("is_entry").select(F.col("node").alias("file"), F.lit("GET").alias("method"), F.concat(F.lit("/r/"), F.col("node") % 100).alias("route"))
+    return graph.affected_routes(f, e, routes, base._hub(e), DEPTH)
+
+
+@whole
+def g24_guard_all(spark, d):
+    f, e = base._base(spark, d)
+    start = _changed(spark, d, f).select(F.lit(0).cast("long").alias("root"), "node")
+    r = graph.impact_radius(f, e, start, 3)
+    out = r.agg(F.sum((F.col("level") == 1).cast("long")).alias("direct"), F.sum((F.col("level") > 1).cast("long")).alias("transitive")).fillna(0)
+    return out.withColumn("blocked", (F.col("direct") > 50) | (F.col("transitive") > 50))
+
+
+@whole
+def a15_diff_summary_all(spark, d):
+    return base.diff_summary(_changed(spark, d, base.composite(spark, d, DEPTH)))
+
+
+@whole
+def a16_change_type_all(spark, d):
+    return base.diff.change_type(_changed(spark, d, domain.files(spark, d)))
