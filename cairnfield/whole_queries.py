@@ -1,7 +1,7 @@
 """Queries over the whole job where the registered ones take a part of the tables or less than the operator's depth.
 
-The narrow queries and their SQL stay as they are; these stand beside them and have no SQL, as the recursive closure in SQL
-is too slow on whole tables. tests/test_whole.py holds them against brute force.
+The narrow queries and their SQL stay as they are; these stand beside them and have no SQL.
+tests/test_whole.py holds them against brute force.
 """
 
 from __future__ import annotations
