@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,15 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Paths below the shared folder that are not deleted yet, in the order in which they were made.
+_LIVE: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent, a temporary folder stands in, but only in local mode.
+    It lies in a folder of this application, which goes with the application's end at the latest. Where the setting is
+    absent, a temporary folder stands in, but only in local mode.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("cairnfield.shared.dir", None)
     if not base:
@@ -25,11 +31,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cairnfield-")
         spark.conf.set("cairnfield.shared.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/cairnfield-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(where):
+        files.deleteOnExit(where)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    _LIVE.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there and survives lost executors."""
+    """df, written to the shared folder and read again: lineage ends there and survives lost executors.
+
+    release() deletes it; the end of a scratch() or of the application does where a result still reads from it.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,14 +53,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the files of a table made by stored(), once nothing reads it any more."""
-    remove(df.sparkSession, df.stored_at)  # type: ignore[attr-defined]
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by stored(), once nothing reads them any more."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)  # type: ignore[attr-defined]
 
 
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _LIVE:
+        _LIVE.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what stored() and shared_dir() have made inside: for callers that write a result elsewhere."""
+    before = set(_LIVE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _LIVE if p not in before]:
+            remove(spark, path)
+
+
+def carried(docs: DataFrame, keep: Sequence[str], made: Sequence[str]) -> tuple[DataFrame, list[str], str]:
+    """(the kept columns of docs under positional names, then its text; their own names; their schema as DDL).
+
+    Columns that an operator makes win over columns of docs by the same name, whatever their case, which are left out.
+    """
+    taken = {m.lower() for m in made}
+    names = [c for c in (keep or docs.columns) if c.lower() not in taken]
+    fields = [docs.schema[c] for c in names]
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in names]
+    return docs.select(*(c.alias(f"c{k}") for k, c in enumerate(quoted)), F.col("text").alias("t")), names, ddl
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

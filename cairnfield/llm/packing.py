@@ -38,28 +38,41 @@ def _byte_letters() -> dict[str, int]:
 
 @lru_cache(2)
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids by the tokenizers file at path, without special tokens.
+    """text -> ids by the tokenizers file at path, with add_special_tokens=False.
 
-    A plain byte-level BPE file gives the same ids through tiktoken, which is faster, with the file's own vocabulary as
-    ranks; a probe compares the two, and if they differ, or for any other file, tokenizers does the work.
+    That option adds no token around a text; the file's special tokens that stand in a text are one id each, as
+    tokenizers has it. A plain byte-level BPE file gives the same ids through tiktoken, which is faster, with the file's
+    own vocabulary as ranks. It is used only where that can be told from the file: ids ascend with the merges, added
+    tokens match plainly, and nothing else is set; otherwise tokenizers does the work.
     """
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    slow = lambda text: own.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-        return slow
+    if not _plain(spec):
+        return lambda text: own.encode(text, add_special_tokens=False).ids
     import tiktoken
 
-    letters, special = _byte_letters(), {t["content"] for t in spec.get("added_tokens", ())}
+    letters, special = _byte_letters(), {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
     ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    probe = "The quick (brown) fox's  été\n\n\t 12345 ñandú über straße? <|endoftext|> naïve　漢字 🙂!\r\n"
-    return fast if fast(probe) == slow(probe) else slow
+    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: fast.encode(text, allowed_special="all") if any(t in text for t in special) else fast.encode_ordinary(text)
+
+
+def _plain(spec: dict) -> bool:
+    """Whether a tokenizers file is byte-level BPE alone: its vocabulary is the bytes and, in order, what merges make."""
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", ())
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if spec.get("normalizer") or spec.get("truncation") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        return False
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    single = [vocab.get(c) for c in _byte_letters()]
+    return None not in made and None not in single and made == sorted(made) and len(set(made)) == len(made) and max(single) < min(made, default=1 << 62)
 
 
 def encode(text: str, ids_of: Callable[[str], list[int]]) -> np.ndarray:
@@ -175,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, kee
     that repeat are packed each; a null doc_id is no obstacle. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    own = stored(pieces(docs, tokenizer, size, end_id, keep_ids), "pieces")
+    own = stored(pieces(docs, tokenizer, size, end_id, keep_ids), "pieces")  # the result reads it
     by_task = own.groupBy("length", "task").agg(F.count("*").alias("n"))
     by_task = stored(by_task.select("length", "task", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before")), "counts")
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most

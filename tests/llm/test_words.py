@@ -164,7 +164,6 @@ def test_packing_is_whole_and_tight(spark, sf):
         assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 2048
     assert len(bins) <= 1.02 * math.ceil(sum(r.length for r in rows) / 2048) + 1
     own = Tokenizer.from_file(queries.tokenizer_path())
-    own.encode_special_tokens = True
     by = defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
@@ -204,3 +203,22 @@ def test_packing_odd_rows_and_blocks(spark, odd):
         assert packing.encode(text, ids_of).tolist() == ids_of(text)
     finally:
         packing.BLOCK = old
+
+
+def test_packing_ids_are_those_of_the_plain_tokenizer(spark):
+    """Special tokens in a text are one id; 10,000 random texts through both ways, and a text through the operator."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    own, ids_of = Tokenizer.from_file(path), packing.encoder(path)
+    assert ids_of("a <|endoftext|> b") == [64, 220, 50256, 275]
+    rng = random.Random(12)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\r\n", "\t", "\u3000", "\xa0", "'s", "'LL", "12", "3.5", "été", "ñ", "漢字", "🙂", "ﬁ", "e\u0301", "\u200d", "\x00", "ß", "the", "Hello", "world", "x" * 9, "!?", "...", "<", "|"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(9000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0xD800), rng.randrange(0x10000, 0x1FBFF)])) for _ in range(rng.randint(1, 30))) for _ in range(1000)]
+    assert [ids_of(t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    text = "one <|endoftext|>two" * 3
+    row = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, keep_ids=True).first()
+    assert row.ids == [*own.encode(text, add_special_tokens=False).ids, 0]
+    spec = {"model": {"type": "BPE", "vocab": {c: i for i, c in enumerate(packing._byte_letters())} | {"ab": 257, "bc": 256}, "merges": ["a b", "b c"]}, "pre_tokenizer": {"type": "ByteLevel"}}
+    assert not packing._plain(spec)
