@@ -52,10 +52,9 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality labels, by page_id, are the outcomes that hosts are judged by."""
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    out = url_reputation.judge(table(spark, sf_dir, "pages"), outcomes, RULES)
-    return out.select("page_id", "host", "path", "rule", "verdict", F.round("mean", 6).alias("mean"), F.round("upper", 6).alias("upper"))
+    """The rules' verdicts on the pages that they fit are the outcomes that hosts are judged by."""
+    out = url_reputation.judge(table(spark, sf_dir, "pages"), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", *(F.round(c, 6).alias(c) for c in ("mean", "upper", "floor")))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +112,25 @@ _LEVEL = """
 {name}_m AS (SELECT CASE WHEN coalesce(room, 0) <= 0 OR gap / room <= 1.0 / 1001 THEN 1000.0 ELSE greatest(2.0, room / gap - 1) END AS m FROM {name}_rho),
 {name}_post AS (SELECT {key}, prior * m + k AS alpha, (1 - prior) * m + n - k AS beta FROM {source}, {name}_m)"""
 
+_SECOND = ", ".join(f"'{x}'" for x in url_reputation.SECOND_LEVELS)
+
 OP6_SQL = (
     r"""
-WITH votes AS (SELECT doc_id AS page_id, CAST(avg(quality) >= 0.5 AS DOUBLE) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-counted AS (SELECT host, CAST(count(good) AS DOUBLE) AS n, coalesce(sum(good), 0.0) AS k FROM p LEFT JOIN votes USING (page_id) GROUP BY host),
-hosts AS (SELECT host, n, k, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM counted),
+ruled AS (SELECT *, CASE
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p),
+counted AS (SELECT host, CAST(count(rule) AS DOUBLE) AS n, CAST(count(*) FILTER (rule IN ('org/', 'com/fr/')) AS DOUBLE) AS k FROM ruled GROUP BY host),
+labels_of AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^(?s:.*)@', ''), ':[0-9]*$', ''), '.') AS l FROM counted),
+parted AS (SELECT *, array_to_string(l, '.') AS site, CASE WHEN regexp_matches(array_to_string(l, '.'), '^([0-9]+\.){3}[0-9]+$|^\[') THEN len(l)
+  WHEN len(l) > 1 AND length(l[-1]) = 2 AND l[-2] IN ("""
+    + _SECOND
+    + r""") THEN 2 ELSE 1 END AS s FROM labels_of),
+hosts AS (SELECT host, n, k, array_to_string(l[len(l) - s + 1:], '.') AS suffix, array_to_string(l[greatest(len(l) - s, 1):], '.') AS domain FROM parted),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (sum(sum(k)) OVER () + 0.5) / (sum(sum(n)) OVER () + 1) AS prior FROM domains GROUP BY suffix),"""
     + _LEVEL.format(name="s", source="suffixes", key="suffix")
@@ -129,15 +140,9 @@ suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (sum(sum(k)) OVER () + 0.5
     + _LEVEL.format(name="h", source="h", key="host")
     + """,
 known AS (SELECT host, alpha / (alpha + beta) AS mean, alpha + beta AS n FROM h_post),
-bound AS (SELECT host, mean, least(1.0, mean + 1.645 * sqrt(mean * (1 - mean) / (n + 1))) AS upper FROM known),
-ruled AS (SELECT *, CASE
-  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
-  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
-  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p JOIN bound USING (host))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
-  round(mean, 6) AS mean, round(upper, 6) AS upper FROM ruled
+bound AS (SELECT host, mean, least(1.0, mean + 1.645 * sqrt(mean * (1 - mean) / (n + 1))) AS upper, (SELECT min(prior) FROM suffixes) AS floor FROM known)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR upper < floor THEN 'block' ELSE 'allow' END AS verdict,
+  round(mean, 6) AS mean, round(upper, 6) AS upper, round(floor, 6) AS floor FROM ruled JOIN bound USING (host)
 """
 )
 

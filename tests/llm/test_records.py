@@ -136,20 +136,54 @@ def test_flac_query_and_blocks(spark, sf):
 
 def test_url_parts_rules_and_odd_rows(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?q#f", "http://example.org/en/12", "http://org", "http://org/", "x://b.com/fr/", "x://b.com/fr", "x://com/de/1", "x://h?a://z/", "http://notexample.org/es/"]
-    p = spark.createDataFrame([(i, u, 0.5) for i, u in enumerate(urls)], "page_id long, url string, mean double")
+    p = spark.createDataFrame([(i, u, 0.5, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, mean double, rule string, host int")
     labels = spark.createDataFrame([(8, 0), (8, 1), (None, 1), (10, None)], "page_id long, good int")
-    out = {r.page_id: r for r in url_reputation.judge(p, labels, queries.RULES).collect()}
-    assert len(out) == len(urls)
-    assert [(out[i].host, out[i].path) for i in range(5)] == [("", ""), ("", ""), ("", ""), ("", ""), ("a.example.org", "/es/x")]
-    assert [out[i].rule for i in range(4, 13)] == ["example.org/es/", "example.org/en/1", None, "org/", "com/fr/", None, "com/de/", None, "org/"]
-    assert out[11].host == "h" and out[4].verdict == "block" and out[8].verdict == "allow" and out[10].verdict == "block"
-    assert url_reputation.judge(p.limit(0), labels, queries.RULES).count() == 0
+    for given in (None, labels):
+        out = {r.page_id: r for r in url_reputation.judge(p, queries.RULES, given).collect()}
+        assert len(out) == len(urls)
+        assert [(out[i].host, out[i].path) for i in range(5)] == [("", ""), ("", ""), ("", ""), ("", ""), ("a.example.org", "/es/x")]
+        assert [out[i].rule for i in range(4, 13)] == ["example.org/es/", "example.org/en/1", None, "org/", "com/fr/", None, "com/de/", None, "org/"]
+        assert out[11].host == "h" and out[4].verdict == "block" and out[8].verdict == "allow" and out[10].verdict == "block"
+        assert url_reputation.judge(p.limit(0), queries.RULES, given).count() == 0
+
+
+def test_suffixes_and_domains(spark):
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("com", "x.com"), "a.x.com": ("com", "x.com"), "com": ("com", "com"),
+        "a.com.uk.org": ("org", "uk.org"), "w.example.org.au:8080": ("org.au", "example.org.au"), "u:p@a.b.de": ("de", "b.de"), "a.b.io": ("io", "b.io"),
+        "127.0.0.1:80": ("127.0.0.1", "127.0.0.1"), "": ("", ""), "localhost": ("localhost", "localhost"), "x.blog.uk": ("uk", "blog.uk"), "[::1]:80": ("[::1]", "[::1]"),
+    }
+    from pyspark.sql import functions as F
+
+    site = url_reputation.site(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", url_reputation.suffix(site).alias("s"), url_reputation.domain(site).alias("d")).collect()
+    assert {r.host: (r.s, r.d) for r in rows} == want
 
 
 def test_reputation_shrinks_and_blocks(spark):
     pages = [(i, f"http://bad.one.net/{i}") for i in range(200)] + [(1000 + i, f"http://good.two.net/{i}") for i in range(200)] + [(2000, "http://new.one.net/"), (2001, "http://x.co.uk/")]
     labels = [(i, 0) for i in range(200)] + [(1000 + i, 1) for i in range(200)]
     p, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int")
-    out = {r.page_id: r for r in url_reputation.judge(p, lab, []).collect()}
+    out = {r.page_id: r for r in url_reputation.judge(p, [], lab).collect()}
     assert out[0].verdict == "block" and out[1000].verdict == "allow"
     assert out[0].mean < out[2000].mean < out[1000].mean
+
+
+def test_reputation_from_rules_reaches_pages_without_one(spark, sf, tmp_path):
+    """Hosts that rules mostly block lose their other pages, hosts that rules mostly allow keep them; SQL agrees, on co.uk as well."""
+    rules = [("allow", "com/fr/"), ("block", "com/de/")]
+    pages = [(i, f"http://{h}/{'fr' if i % 10 < share else 'de'}/{i}") for k, (h, share) in enumerate([("good.a.com", 9), ("bad.b.com", 1)]) for i in range(400 * k, 400 * k + 200)]
+    pages += [(5000, "http://good.a.com/x"), (5001, "http://bad.b.com/x"), (5002, "http://other.b.com/x"), (5003, "http://m.a.co.uk/"), (5004, "http://b.co.uk:80/")]
+    out = {r.page_id: r for r in url_reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    assert out[5000].verdict == "allow" and out[5001].verdict == "block" and out[5000].rule is None and out[5001].rule is None
+    assert {r.verdict for r in queries.op6_url_reputation(spark, "/root/testdata/sf0.01").filter("rule IS NULL").collect()} == {"allow", "block"}
+    import duckdb
+
+    import verify
+
+    spark.createDataFrame([*pages, (None, None), (7, "x://127.0.0.1:80/"), (8, "x://me@a.com.br/fr/")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = queries.op6_url_reputation(spark, str(tmp_path))
+    want = con.sql(queries.OP6_SQL)
+    assert verify.rows(df.columns, df.collect()) == verify.rows(want.columns, want.fetchall())
