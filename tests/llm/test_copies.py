@@ -5,6 +5,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairnfield.llm import decontaminate, line_dedup, queries, simhash
@@ -133,7 +134,46 @@ def test_contained_against_brute_force(spark):
     assert got == want and len(want) > 30
     assert decontaminate.contained(d.limit(0), b).count() == 0 and decontaminate.contained(d, b.limit(0)).count() == 0
     left = {r.doc_id for r in decontaminate.clean(d, b).collect()}
-    assert left == {i for i, _ in docs} - {i for i, _ in got if i is not None}
+    assert left == {i for i, _ in docs} - {i for i, _ in got}
+
+
+def test_rows_are_cleaned_each(spark):
+    """A null id protects no row, and a shared id condemns none; columns that clash with the operator's own pass through."""
+    item = "w1 w2 w3 w4 w5 w6 w7"
+    d = spark.createDataFrame([(None, item, 1), (None, "clean", 2), (1, f"a {item} b", 3), (1, "clean too", 4), (2, None, 5)], "doc_id long, text string, bad_key int").withColumn("item_id", F.lit("x")).withColumn("text_key", F.lit(1)).withColumn("d", F.lit(1))
+    out = decontaminate.clean(d, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(r.bad_key for r in out.collect()) == [2, 4, 5] and out.columns == d.columns
+
+
+def test_the_sketch_chooses_what_is_compared(spark, monkeypatch):
+    """Without sketches nothing is found; with them a part of the pairs that share a shingle is compared, and none is lost."""
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocab, k=60))) for i in range(30)]
+    docs = []
+    for i in range(120):
+        w = rng.choices(vocab, k=80)
+        part = items[i % 30][1].split()
+        w[40:40] = part if i < 30 else part[: rng.randint(6, 12)]  # most hold a short passage of an item only
+        docs.append((i, " ".join(w)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    real = decontaminate.candidates
+
+    def counted(*args):
+        out = real(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontaminate, "candidates", counted)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained(d, b).collect()}
+    meet = [(i, j) for i, t in docs for j, x in items if shingles(t) & shingles(x)]
+    want = {(i, j) for i, j in meet if len(shingles(docs[i][1]) & shingles(items[j][1])) >= 0.8 * len(shingles(items[j][1]))}
+    assert got == want and len(want) >= 30
+    assert len(want) <= seen[0] < 0.9 * len(meet)
+    sketched = decontaminate._sketched
+    monkeypatch.setattr(decontaminate, "_sketched", lambda *a: sketched(*a).withColumn("sketch", F.array().cast("array<bigint>")))
+    assert decontaminate.contained(d, b).count() == 0
 
 
 def test_chunks_join_to_the_text(spark, odd):
