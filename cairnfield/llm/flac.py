@@ -531,47 +531,91 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
+#: Columns of a table of blocks.
+BLOCKS = "n_bytes bigint, media_bytes bigint, media_sha256 string, block bigint, sample_offset bigint, samples bigint, total bigint, pcm binary"
+
+
 def to_blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, block, sample_offset, samples, pcm) for every block of every row of media(doc_id, media); pcm are the
-    samples as bytes. Null media have no block."""
+    """(doc_id, BLOCKS) for every block of every row of media(doc_id, n_bytes, media), which is decoded and verified.
+
+    pcm are the samples, 8 bits each with a sign, from sample_offset on; total is how many the stream has. Blocks of a
+    row follow one another in order. Null media have no block; other columns are ignored.
+    """
+    names = ["doc_id", *(f.split()[0] for f in BLOCKS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _batches(b, [len(m.as_buffer()) if m.is_valid else 0 for m in b.column(1)]):
-                rows = [r for r in range(part.num_rows) if part.column(1)[r].is_valid]
-                for r, x in zip(rows, decode([part.column(1)[r].as_py() for r in rows]), strict=True):
-                    offsets = np.arange(0, len(x), BLOCK)
-                    pcm = [x[o : o + BLOCK].tobytes() for o in offsets]
-                    ids = part.column(0).take(pa.array([r] * len(offsets), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(offsets))), pa.array(offsets), pa.array([len(p) for p in pcm], pa.int64()), pa.array(pcm, pa.binary())], names=["doc_id", "block", "sample_offset", "samples", "pcm"])
+            for part in _batches(b, [len(m.as_buffer()) if m.is_valid else 0 for m in b.column(2)]):
+                rows = [r for r in range(part.num_rows) if part.column(2)[r].is_valid]
+                streams = [part.column(2)[r].as_py() for r in rows]
+                for r, m, x in zip(rows, streams, decode(streams), strict=True):
+                    whole, offsets = x.tobytes(), np.arange(0, len(x), BLOCK)
+                    n, one = len(offsets), pa.array([r] * len(offsets), pa.int64())
+                    pcm = pa.array([whole[o : o + BLOCK] for o in offsets.tolist()], pa.binary())
+                    same = [pa.array([v] * n, t) for v, t in ((len(m), pa.int64()), (hashlib.sha256(m).hexdigest(), pa.string()))]
+                    columns = [part.column(0).take(one), part.column(1).take(one), *same, pa.array(np.arange(n)), pa.array(offsets), pa.array(np.minimum(len(x) - offsets, BLOCK)), pa.array(np.full(n, len(x))), pcm]
+                    yield from _sliced(pa.RecordBatch.from_arrays(columns, names=names))
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {BLOCKS}")
+
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, block bigint, sample_offset bigint, samples bigint, pcm binary")
+def _sliced(b: pa.RecordBatch, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
 
 
-def features(x: np.ndarray) -> str:
-    """Peak, sum, energy and sign changes of the samples, all of them integers."""
-    wide = x.astype(np.int32)
-    energy = int(np.dot(wide.astype(np.int64), wide))
-    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"peak={int(np.abs(wide).max(initial=0))};sum={int(wide.sum(dtype=np.int64))};energy={energy};changes={changes}"
+class Features:
+    """Peak, sum, energy and sign changes of samples that come block by block, all of them integers."""
 
+    def __init__(self) -> None:
+        self.peak = self.total = self.energy = self.changes = 0
+        self.last: np.ndarray | None = None
 
-def digests(media: DataFrame) -> DataFrame:
-    """For every row of media(doc_id, n_bytes, media) what is read back: payload, tail and media digests, and features."""
+    def add(self, x: np.ndarray) -> None:
+        wide = x.astype(np.int64)
+        self.peak = max(self.peak, int(np.abs(wide).max(initial=0)))
+        self.total += int(wide.sum())
+        self.energy += int(np.dot(wide, wide))
+        below = (x if self.last is None else np.concatenate([self.last, x])) < 0
+        self.changes += int(np.count_nonzero(below[1:] != below[:-1]))
+        self.last = x[-1:]
+
+    def __str__(self) -> str:
+        return f"peak={self.peak};sum={self.total};energy={self.energy};changes={self.changes}"
+
+
+def digests(blocks: DataFrame) -> DataFrame:
+    """For every stream of to_blocks(media): payload, tail and media digests, and features, of the PCM blocks read back.
+
+    A stream's blocks have to follow one another in a partition, as to_blocks() makes them: a stream ends where its
+    samples reach its total.
+    """
     import zlib
 
-    kinds = {"doc_id": None, "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, seen, tail, feature = hashlib.sha256(), 0, b"", Features()
         for b in batches:
-            for part in _batches(b, [len(m.as_buffer()) for m in b.column(2)]):
-                media = part.column(2).to_pylist()
-                rows = []
-                for m, x in zip(media, decode(media), strict=True):
-                    payload = (x.view(np.uint8) ^ 128).tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), features(x)))
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, list(kinds.values())[2:], strict=True))], names=list(kinds))
-
-    ids = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {ids}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+            offset, samples, total = (b.column(k).to_numpy() for k in (5, 6, 7))
+            ends = np.flatnonzero(offset + samples == total) + 1
+            rows, which = [], []
+            for x, y in zip([0, *ends.tolist()], [*ends.tolist(), b.num_rows], strict=True):
+                if x == y:
+                    continue
+                if offset[x] != seen or (np.diff(offset[x:y]) != samples[x : y - 1]).any():
+                    raise FlacError("blocks out of order")
+                pcm = np.frombuffer(b"".join(p.as_buffer() for p in b.column(8).slice(x, y - x)), np.int8)
+                payload = (pcm.view(np.uint8) ^ 128).tobytes()
+                sha.update(payload)
+                feature.add(pcm)
+                seen, tail = seen + len(payload), (tail + payload)[-32:]
+                if seen == total[y - 1]:
+                    rows.append((b.column(1)[y - 1].as_py(), seen, sha.hexdigest(), zlib.crc32(tail), b.column(2)[y - 1].as_py(), b.column(3)[y - 1].as_py(), str(feature)))
+                    which.append(y - 1)
+                    sha, seen, tail, feature = hashlib.sha256(), 0, b"", Features()
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True))], names=["doc_id", *kinds])
+
+    ids = blocks.schema["doc_id"].dataType.simpleString()
+    return blocks.select("doc_id", *(f.split()[0] for f in BLOCKS.split(", "))).mapInArrow(run, f"doc_id {ids}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

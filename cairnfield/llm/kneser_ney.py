@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import carried, shared_dir, stored
 
 #: Bytes of text tokenized at a time, tokens summed up before they are sent on, bytes of a word that numpy hashes.
 BLOCK, FLUSH, SHORT = 1 << 22, 1 << 22, 48
@@ -438,20 +438,20 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str, .
     A null, empty or blank text is its end token alone. perplexity is that of the model, a token.
     """
     shared = spark.sparkContext.broadcast(model)  # paths and a few numbers a range
-    keep = keep or tuple(docs.columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"])
+    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    source, names, ddl = carried(docs, keep, made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             n = b.num_rows
             sums = np.zeros((4, n))
-            for t in tokens(b.column(len(keep)).to_pylist()):
+            for t in tokens(b.column(len(names)).to_pylist()):
                 c, base, own = model.score(t)
                 for k, x in enumerate((None, c > 0, base, own)):
                     sums[k] += np.bincount(t.row, x, n)
             whole = [pa.array(x.astype(np.int64)) for x in (sums[0], sums[1], np.full(n, model.N))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *whole, pa.array(sums[2]), pa.array(sums[3])], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *whole, pa.array(sums[2]), pa.array(sums[3])], names=[*names, *made[:5]])
 
-    out = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    out = source.mapInArrow(run, ", ".join([ddl] * bool(names) + ["n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"]))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

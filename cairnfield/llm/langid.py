@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import carried
+
 #: Characters handled at a time, to bound memory; longer texts go in pieces that overlap by an n-gram less one.
 BLOCK = 1 << 19
 UNKNOWN = "und"
@@ -115,10 +117,11 @@ class Model:
         return named, np.where(letters > 0, share, 0.0)
 
 
-def train(docs: DataFrame, orders: int = 4, bits: int = 16, alpha: float = 0.5) -> Model:
+def train(docs: DataFrame, orders: int = 4, bits: int = 16, alpha: float = 0.5, most: int = 512) -> Model:
     """Counts n-grams of docs(text, lang) by language; rows with a null lang or text teach nothing.
 
-    Only sums go to the driver: languages by 2**bits numbers. Without any row the model has no language.
+    Only sums go to the driver: languages by 2**bits numbers, and the matrix is broadcast, so `most` bounds the number of
+    languages; more raise an error. Without any row the model has no language.
     """
     width = 1 << bits
 
@@ -140,6 +143,8 @@ def train(docs: DataFrame, orders: int = 4, bits: int = 16, alpha: float = 0.5)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
 
     own = docs.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    if (many := own.select("lang").distinct().limit(most + 1).count()) > most:
+        raise ValueError(f"over {most} languages ({many} or more): the matrix of log-probabilities would outgrow a broadcast")
     found = own.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names, at, n = found["lang"].to_pylist(), found["bucket"].to_numpy(), found["n"].to_numpy()
     langs = tuple(sorted(set(names)))
@@ -155,16 +160,15 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str
     """docs' columns `keep` with lang_pred and score, the posterior of the language, for every row.
 
     A text that is null, empty or without a letter is "und" with score 0; so is every text under a model without
-    languages. Of equal posteriors the first language by name wins.
+    languages. Of equal posteriors the first language by name wins. Without `keep` all columns pass through, but for
+    such as are named lang_pred or score.
     """
     shared = spark.sparkContext.broadcast(model)
-    keep = keep or tuple(docs.columns)
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string", "score double"])
+    source, names, ddl = carried(docs, keep, ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            named, score = shared.value.predict(b.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(named, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            named, score = shared.value.predict(b.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(named, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, ", ".join([ddl] * bool(names) + ["lang_pred string, score double"]))

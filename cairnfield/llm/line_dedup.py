@@ -6,7 +6,7 @@ another place in another document is cut at the same places again:
 - every line has a 31-bit hash, and every place i a rolling hash of the lines i - 1 and i;
 - a chunk ends after line i if the rolling hash there is smaller than at both neighbours, which puts two lines into a
   chunk at least (but at a document's ends) and three on average;
-- a line of `solo` words or more is a wrapped paragraph, and a chunk of its own.
+- where `solo` is given, a line of so many words is a wrapped paragraph, and a chunk of its own.
 
 A chunk that lies across the edge of a passage stands only once, so dedup() leaves parts of a passage and may miss a short
 one. dedup_passages() compares runs of lines as well, from every line on, and misses no passage of `least` words.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, stored
+from .common import SPACE_CLASS, let, release, stored
 
 #: Fixed values of the rolling hash.
 MULTIPLIER, MODULUS = 1000003, 2147483647
@@ -25,14 +25,25 @@ MULTIPLIER, MODULUS = 1000003, 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _key(df: DataFrame) -> DataFrame:
-    """df with row_key, the same for rows of equal doc_id and text."""
-    return df.withColumn("row_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+def _key(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """(row_key, doc_id, text, and all columns as one struct; the names of those to return).
+
+    row_key is the same for rows of equal doc_id and text. Columns of docs are inside the struct, so none clashes with
+    a helper column; one that is named as what the operator returns is left out.
+    """
+    names = [c for c in docs.columns if c.lower() not in made]
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    return docs.select(key.alias("row_key"), "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")], F.lit(0).alias("__none")).alias("rest")), names
+
+
+def _whole(joined: DataFrame, names: list[str], text: Column, extra: list[Column]) -> DataFrame:
+    """The rows of _key() with another text, and the operator's own columns."""
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col("rest").getField(c).alias(c) for c in names], *extra)
 
 
-def _ends(lines: Column, solo: int) -> Column:
+def _ends(lines: Column, solo: int | None) -> Column:
     """The indices (from 0) after which a chunk ends."""
-    hashed = F.transform(lines, lambda x: F.struct(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long").alias("h"), (F.size(F.split(x, SPACE_CLASS)) >= solo).alias("s")))
+    hashed = F.transform(lines, lambda x: F.struct(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long").alias("h"), _solo(x, solo).alias("s")))
 
     def roll(h: Column) -> Column:
         return F.transform(h, lambda x, i: F.struct(F.pmod(F.coalesce(F.get(h, i - 1)["h"], F.lit(0)) * MULTIPLIER + x["h"], F.lit(MODULUS)).alias("r"), x["s"].alias("s")))
@@ -48,7 +59,12 @@ def _ends(lines: Column, solo: int) -> Column:
     return let(let(hashed, roll), flag)
 
 
-def chunks(text: Column, solo: int = 50) -> Column:
+def _solo(line: Column, solo: int | None) -> Column:
+    """Whether a line is a chunk by itself."""
+    return F.lit(False) if solo is None else F.size(F.split(line, SPACE_CLASS)) >= solo
+
+
+def chunks(text: Column, solo: int | None = None) -> Column:
     """array<struct<chunk: text of the lines, n_lines>>; the chunks joined by newlines are the text."""
 
     def cut(lines: Column) -> Column:
@@ -64,18 +80,18 @@ def chunks(text: Column, solo: int = 50) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), cut)
 
 
-def dedup(docs: DataFrame, solo: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, solo: int | None = None) -> DataFrame:
     """docs with removed_chunks and removed_lines, and text without the chunks that stand elsewhere before.
 
-    Chunks of two lines or more, or of one line of `solo` words, count; blank ones don't. Of equal chunks (compared
-    byte by byte, after a hash has found them) the first stays: in the row of the smallest doc_id (null is largest),
-    there the first. Rows of equal doc_id and text are one document and get the same result. Null text stays null. A
-    text none of whose chunks goes is returned as it is; one that loses all is "". Other columns pass through.
+    Chunks of two lines or more count, and with `solo` those of one line of so many words; blank ones don't. Of equal
+    chunks (compared byte by byte, after a hash has found them) the first stays: in the row of the smallest doc_id (null
+    is largest), there the first. Rows of equal doc_id and text are one document and get the same result. Null text
+    stays null. A text none of whose chunks goes is returned as it is; one that loses all is "". Other columns pass
+    through, but for such as are named removed_chunks or removed_lines.
     """
-    names = docs.columns
-    keyed = _key(docs)
+    keyed, names = _key(docs, ("removed_chunks", "removed_lines"))
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "j")
-    counts = (F.trim("chunk") != "") & ((F.col("n_lines") > 1) | (F.size(F.split("chunk", SPACE_CLASS)) >= solo))
+    counts = (F.trim("chunk") != "") & ((F.col("n_lines") > 1) | _solo(F.col("chunk"), solo))
     # Places and hashes of all chunks, without their texts.
     parts = keyed.select("row_key", F.posexplode(chunks(F.col("text"), solo)).alias("j", "c")).select("row_key", "j", "c.*").filter(counts)
     parts = stored(parts.select("row_key", "j", F.xxhash64("chunk").alias("h")), "places")
@@ -85,19 +101,20 @@ def dedup(docs: DataFrame, solo: int = 50) -> DataFrame:
     own = keyed.select("doc_id", "row_key", "text").join(found.hint("merge"), "row_key")
     cut = F.filter(F.transform(chunks(F.col("text"), solo), lambda c, j: F.struct(j.alias("j"), c.alias("c"))), lambda x: F.array_contains("js", x["j"]))
     own = own.select("doc_id", "row_key", F.explode(cut).alias("x")).select("doc_id", "row_key", "x.j", "x.c.*")
-    found = stored(own.select(F.xxhash64("chunk").alias("h"), where.alias("at"), "n_lines", "chunk"), "repeated")
-    # 2. Their texts, compared byte by byte as keys of an aggregation.
-    first = found.groupBy("h", "chunk").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # 3. All but the first place go.
-    gone = found.join(first, ["h", "chunk"]).filter("at <> first")
-    gone = gone.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_set("at.j").alias("gone"), F.sum("n_lines").alias("lines"), F.count("*").alias("n"))
-    # Equal rows give equal places, each as often as the row is there.
-    gone = gone.select("row_key", "gone", (F.col("lines") * F.size("gone") / F.col("n")).cast("long").alias("removed_lines"))
+    repeated = stored(own.select(F.xxhash64("chunk").alias("h"), where.alias("at"), "n_lines", "chunk"), "repeated")
+    release(parts, found)
+    # 2. Their texts, compared byte by byte as keys of an aggregation, which keeps a place of each: a row a task of a
+    #    frequent chunk. A place that isn't kept goes, so texts needn't meet their first place again.
+    first = repeated.groupBy("h", "chunk").agg(F.min("at").alias("at")).select("at.row_key", "at.j")
+    # Equal rows give equal places.
+    gone = repeated.select("at.row_key", "at.j", "n_lines").distinct().join(first, ["row_key", "j"], "left_anti")
+    gone = gone.groupBy("row_key").agg(F.collect_set("j").alias("gone"), F.sum("n_lines").cast("long").alias("removed_lines"))
+    gone = stored(gone, "gone")
+    release(repeated)
     joined = keyed.join(gone.hint("merge"), "row_key", "left")
     kept = F.filter(chunks(F.col("text"), solo), lambda c, j: ~F.array_contains(F.col("gone"), j))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
-    extra = [F.coalesce(F.size("gone"), F.lit(0)).alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines")]
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], *extra)
+    return _whole(joined, names, text, [F.coalesce(F.size("gone"), F.lit(0)).alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines")])
 
 
 def _pieces(text: Column, least: int) -> Column:
@@ -163,11 +180,11 @@ def dedup_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     chunks are compared by SHA-256 after a shorter hash has found them. Equal rows, null texts and other columns are
     treated as by dedup().
     """
-    names = docs.columns
-    keyed = _key(docs)
+    keyed, names = _key(docs, ("removed_lines",))
     places = stored(keyed.select("row_key", F.explode(_pieces(F.col("text"), least)).alias("p")).select("row_key", "p.*"), "places")
     often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     found = stored(places.join(often, "h", "left_semi").groupBy("row_key").agg(F.collect_set(F.struct("start", "end", "run")).alias("ps")), "found")
+    release(places)
     own = keyed.select("doc_id", "row_key", "text").join(found.hint("merge"), "row_key")
 
     def keys(lines: Column) -> Column:
@@ -180,16 +197,22 @@ def dedup_passages(docs: DataFrame, least: int = 50) -> DataFrame:
 
     own = own.select("doc_id", "row_key", F.explode(let(F.split("text", "\n", -1), keys)).alias("x"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "x.start", "x.end")
-    found = stored(own.select("x.key", at.alias("at")), "repeated")
-    first = found.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = found.join(first, "key").filter("at.row_key <> first.row_key OR at.start > first.end")
-    gone = gone.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_set(F.struct("at.start", "at.end")).alias("spans"))
+    repeated = stored(own.select("x.key", at.alias("at")), "repeated")
+    release(found)
+    # A copy stays if it is the first of its key or overlaps the first in its own row; all others go, so a frequent
+    # key needn't meet its first place in one task.
+    first = repeated.groupBy("key").agg(F.min("at").alias("at")).select("key", F.col("at.row_key").alias("row_key"), F.col("at.end").alias("upto"))
+    places = repeated.select("key", "at.row_key", "at.start", "at.end")
+    gone = places.join(first, (places["key"] == first["key"]) & (places["row_key"] == first["row_key"]) & (places["start"] <= first["upto"]), "left_anti")
+    gone = gone.groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     lost = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"]))))
-    joined = keyed.join(gone.select("row_key", lost.alias("gone")).hint("merge"), "row_key", "left")
+    gone = stored(gone.select("row_key", lost.alias("gone")), "gone")
+    release(repeated)
+    joined = keyed.join(gone.hint("merge"), "row_key", "left")
 
     def left(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n", -1), left))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"))
+    return _whole(joined, names, text, [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines")])

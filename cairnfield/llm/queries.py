@@ -35,8 +35,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text's bytes as a FLAC stream, decoded again, and digests of both."""
-    return flac.digests(flac.to_media(table(spark, sf_dir, "documents")))
+    """Every text's bytes as a FLAC stream, decoded into PCM blocks, and digests of both."""
+    return flac.digests(flac.to_blocks(flac.to_media(table(spark, sf_dir, "documents"))))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of every document without lines that stand elsewhere before."""
-    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_chunks", "removed_lines")
+    """The text of every document without chunks that stand elsewhere before; paragraphs of 50 words on a line are chunks."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), solo=50).select("doc_id", "text", "removed_chunks", "removed_lines")
 
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import carried
+
 #: Bytes handled at a time; a longer text goes in parts, cut between words, whose features are summed.
 BLOCK = 1 << 20
 #: Lengths, in bytes, of the word beginnings that are features beside the words themselves.
@@ -263,15 +265,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2500, unlabelled:
 def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' columns `keep` with score (0 to 1) and predicted (1 if score >= threshold), for every row and whole text.
 
-    Null, empty and wordless texts have no feature and score by the bias alone.
+    Null, empty and wordless texts have no feature and score by the bias alone. Without `keep` all columns pass through,
+    but for such as are named score or predicted.
     """
     shared = spark.sparkContext.broadcast(model)
-    keep = keep or tuple(docs.columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "score double"])
+    source, names, ddl = carried(docs, keep, ("score", "predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(shared.value.score(b.column(len(keep)).to_pylist()))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(shared.value.score(b.column(len(names)).to_pylist()))], names=[*names, "score"])
 
-    out = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    out = source.mapInArrow(run, ", ".join([ddl] * bool(names) + ["score double"]))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

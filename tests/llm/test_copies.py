@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairnfield.llm import decontaminate, line_dedup, queries, simhash
+from cairnfield.llm import decontaminate, kneser_ney, langid, line_dedup, packing, queries, simhash, toxicity
 from cairnfield.llm.common import components
 
 ODD = [(None, None), (None, "solo line"), (1, None), (2, ""), (3, " \n\n "), (4, "a b"), (4, "a b"), (5, "one\ntwo\nthree\nfour"), (6, "one\ntwo\nthree\nfour"), (7, "x " * 4000)]
@@ -179,7 +179,7 @@ def test_the_sketch_chooses_what_is_compared(spark, monkeypatch):
 def test_chunks_join_to_the_text(spark, odd):
     from pyspark.sql import functions as F
 
-    rows = odd.select("text", line_dedup.chunks(F.col("text")).alias("c")).collect()
+    rows = odd.select("text", line_dedup.chunks(F.col("text"), 50).alias("c")).collect()
     assert all("\n".join(x.chunk for x in r.c) == (r.text or "") for r in rows)
     assert all(x.n_lines == x.chunk.count("\n") + 1 for r in rows for x in r.c)
 
@@ -196,7 +196,7 @@ def test_moved_passages_are_found_and_clean_text_stays(spark):
         if i % 4 == 1:
             own.insert(2, wrapped)
         docs.append((i, "\n".join(own)))
-    out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), solo=50).collect()}
     assert out[0].text == docs[0][1] and out[1].text == docs[1][1]
     for i in (3, 6, 9):
         assert sum(p in out[i].text.split("\n") for p in passage) <= 8 and out[i].removed_lines >= 6
@@ -207,13 +207,45 @@ def test_moved_passages_are_found_and_clean_text_stays(spark):
 
 
 def test_line_dedup_odd_rows(spark, odd):
-    rows = line_dedup.dedup(odd).collect()
+    rows = line_dedup.dedup(odd, solo=50).collect()
     assert len(rows) == len(ODD) and rows[0].asDict().keys() == {"doc_id", "text", "chunk", "j", "removed_chunks", "removed_lines"}
     by = {r.j: r for r in rows}
     assert by[0].text is None and by[3].text == "" and by[7].text == ODD[7][1] and by[8].text != ODD[8][1] and by[9].text == ODD[9][1]
     assert line_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_names_that_clash(spark):
+    """Columns named like the operators' own, or like their helpers: helpers don't matter, what is returned wins."""
+    d = spark.createDataFrame([(1, "a b\nc d\ne f", "en"), (2, "a b\nc d\ne f", "de")], "doc_id long, text string, lang string")
+    for k, c in enumerate(("gone", "row_key", "removed_lines", "removed_chunks", "js", "rest", "x", "h", "chunk", "lang_pred", "score", "predicted", "t", "c0", "fp", "n", "component_id", "root", "a`b", "x.y", "n_tokens", "perplexity")):
+        d = d.withColumn(c if c != "x.y" else "x.y", F.lit(f"own{k}"))
+    d = d.drop("a`b", "x.y")
+    for out, made in (
+        (line_dedup.dedup(d), ["removed_chunks", "removed_lines"]),
+        (line_dedup.dedup_passages(d, 4), ["removed_lines"]),
+        (langid.identify(spark, d, langid.train(d)), ["lang_pred", "score"]),
+        (toxicity.score(spark, d, toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int"))), ["score", "predicted"]),
+        (kneser_ney.score(spark, d, kneser_ney.train(spark, d)), ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]),
+        (simhash.keep_one(d), []),
+        (decontaminate.clean(d, d.selectExpr("doc_id AS item_id", "'q' AS text")), []),
+    ):
+        assert len(set(out.columns)) == len(out.columns) and set(out.columns) == set(d.columns) | set(made)
+        rows = out.collect()
+        others = [c for c in d.columns if c not in made and c != "text"]
+        want = {tuple(r[c] for c in others) for r in d.collect()}
+        assert {tuple(r[c] for c in others) for r in rows} <= want and len(rows) in (1, 2)
+    assert [r.removed_lines > 1 for r in line_dedup.dedup(d).orderBy("doc_id").collect()] == [False, True]
+    assert simhash.near_duplicates(d).count() == 2 and packing.pack(d, queries.tokenizer_path()).count() == 2
+    assert line_dedup.dedup(d.select("doc_id", "text")).filter("removed_chunks > 0").count() == 1
+
+
+def test_only_chunks_of_lines_unless_asked(spark):
+    text = "w " * 60
+    d = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    assert {r.removed_lines for r in line_dedup.dedup(d).collect()} == {0}
+    assert {r.removed_lines for r in line_dedup.dedup(d, solo=50).collect()} == {0, 1}
+
+
 def test_pipeline_stages_pass_columns_on(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     start = d.count()

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnfield.llm import flac, queries, url_reputation, warc
 from cairnfield.llm.common import shared_dir
@@ -121,19 +122,41 @@ def test_flac_without_seek_table():
 def test_flac_query_and_blocks(spark, sf):
     d = spark.createDataFrame([(1, None, 0), (2, "", 1), (2, "", 2), (None, "déjà " * 500, 3)], "doc_id long, text string, media int")
     media = flac.to_media(d)
-    rows = flac.digests(media).collect()
+    rows = flac.digests(flac.to_blocks(media)).collect()
     for r, t in zip(sorted(rows, key=lambda r: str(r.doc_id)), [None, "", "", "déjà " * 500], strict=True):
         payload, n = flac.padded(t)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     blocks = flac.to_blocks(media).filter("doc_id IS NULL").orderBy("sample_offset").collect()
     whole = bytes(b ^ 128 for r in blocks for b in r.pcm)
     assert whole == flac.padded("déjà " * 500)[0] and [r.sample_offset for r in blocks] == [576 * i for i in range(len(blocks))]
-    assert flac.to_media(d.limit(0)).count() == 0
+    assert flac.to_media(d.limit(0)).count() == 0 and flac.digests(flac.to_blocks(flac.to_media(d.limit(0)))).count() == 0
+    start = blocks[3]  # a block is found by its offset alone
+    assert (flac.read_samples(media.filter("doc_id IS NULL").first().media, start.sample_offset, start.samples)).tobytes() == bytes(start.pcm)
+    gap = media.withColumn("media", F.when(F.col("n_bytes") > 0, F.col("media")))
+    assert flac.digests(flac.to_blocks(gap)).count() == 1  # null media have neither block nor digest
     got = {r.doc_id: r for r in queries.op3_flac(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         assert got[r.doc_id].payload_sha256 == hashlib.sha256(flac.padded(r.text)[0]).hexdigest()
 
 
+def test_features_by_block_are_those_of_the_whole():
+    x = np.frombuffer(random.Random(3).randbytes(5000), np.int8)
+    whole, parts = flac.Features(), flac.Features()
+    whole.add(x)
+    for k in range(0, 5000, 576):
+        parts.add(x[k : k + 576])
+    w = x.astype(int)
+    changes = sum((a < 0) != (b < 0) for a, b in zip(w, w[1:], strict=False))
+    assert str(whole) == str(parts) == f"peak={max(abs(w))};sum={w.sum()};energy={(w * w).sum()};changes={changes}"
+
+
+def test_digests_refuse_blocks_out_of_order(spark):
+    media = flac.to_media(spark.createDataFrame([(1, "abc " * 400)], "doc_id long, text string"))
+    blocks = flac.to_blocks(media).coalesce(1)
+    with pytest.raises(Exception, match="out of order"):
+        flac.digests(blocks.orderBy(F.desc("block")).coalesce(1)).collect()
+
+
 def test_url_parts_rules_and_odd_rows(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?q#f", "http://example.org/en/12", "http://org", "http://org/", "x://b.com/fr/", "x://b.com/fr", "x://com/de/1", "x://h?a://z/", "http://notexample.org/es/"]
     p = spark.createDataFrame([(i, u, 0.5, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, mean double, rule string, host int")
