@@ -1,6 +1,6 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""LM scoring: an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped by workers.
 
-Words are 64-bit hashes; a document is its words and one end token, the first of which follows a start mark. Training
+Words are 64-bit hashes; a document is its words and one end token, the first of which follows start marks. Training
 goes over the corpus twice, and every count covers all of it:
 
 1. words: tasks sum their counts and send them, by hash range, as sorted arrays of hashes and counts; each range is
@@ -8,6 +8,10 @@ goes over the corpus twice, and every count covers all of it:
 2. pairs: a pair of ids is one 64-bit number, and that times an odd constant (mod 2**64) is a hash without collisions,
    which spreads the pairs of a frequent word over all ranges. Merged shards hold the pairs' counts; from them follow
    each context's total and its pairs of count 1, 2 and more, and each word's number of distinct predecessors.
+   At order 3 tasks send triples instead, by the hash of the pair that they begin with: a context's successors meet in
+   one range, at most one a word. A shard of triples holds ids and counts of successors in the order of their contexts.
+   What a pair counts is then its number of distinct predecessors, summed by range from the merged triples, and beside
+   it stands how many successors it has.
 
 Shards lie in the shared folder. A worker maps them into memory (a copy of theirs, where the folder isn't a local path)
 and looks sorted, distinct hashes up by binary search, a block of text at a time.
@@ -29,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, shared_dir, stored
+from .common import carried, release, shared_dir, stored
 
 #: Bytes of text tokenized at a time, tokens summed up before they are sent on, bytes of a word that numpy hashes.
 BLOCK, FLUSH, SHORT = 1 << 22, 1 << 22, 48
@@ -78,11 +82,12 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tokens:
-    """A block: the row of each token, its hash, and the hash of the token before it."""
+    """A block: the row of each token, its hash, and the hashes of the token before it and of the one before that."""
 
     row: np.ndarray
     token: np.ndarray
     before: np.ndarray
+    earlier: np.ndarray
 
 
 def tokens(texts: list[str | None]) -> Iterator[Tokens]:
@@ -90,7 +95,7 @@ def tokens(texts: list[str | None]) -> Iterator[Tokens]:
     rows: list[int] = []
     parts: list[bytes] = []
     lasts: list[bool] = []
-    carry, size = START, 0
+    carry, size = np.array([START, START]), 0
 
     def block() -> Tokens:
         nonlocal carry
@@ -106,10 +111,11 @@ def tokens(texts: list[str | None]) -> Iterator[Tokens]:
         order = np.argsort(part, kind="stable")
         part, h = part[order], h[order]
         row = np.array(rows)[part]
-        before = np.concatenate([[carry], h[:-1]])
-        before[before == END] = START
-        carry = START if last[-1] else (h[-1] if len(h) else carry)
-        return Tokens(row, h, before)
+        flow = np.concatenate([carry, h])
+        carry = np.array([START, START]) if last[-1] else flow[-2:]
+        flow = np.where(flow == END, START, flow)
+        before = flow[1:-1]
+        return Tokens(row, h, before, np.where(before == START, START, flow[:-2]))
 
     for r, t in enumerate(texts):
         data = (t or "").encode("utf-8", "surrogatepass")
@@ -246,6 +252,67 @@ class Dense:
         return out
 
 
+def _starts(blocks: np.ndarray, many: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the successors of the pairs `at` begin: blocks has the start of every 16th pair, many the numbers of each."""
+    first = at & ~15
+    out = blocks[at >> 4].astype(np.int64)
+    for j in range(15):
+        out += np.where(first + j < at, many[np.minimum(first + j, len(many) - 1)], 0)
+    return out
+
+
+@dataclass(frozen=True)
+class Successors:
+    """What follows each pair, in a file a range of pairs: (pairs, type of their numbers, contexts with more than one
+    successor, types of their totals, ones and twos, triples, type of their counts, path of the pairs, path of the triples)."""
+
+    bits: int
+    files: tuple[tuple | None, ...]
+
+    def find(self, contexts: np.ndarray, which: np.ndarray, word: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(total, discounted mass) of sorted distinct contexts, and counts of tokens: after context `which`, or none if
+        it is -1, the word of this id, or none if that is -1."""
+        total, mass, times = np.zeros(len(contexts), np.int64), np.zeros(len(contexts)), np.zeros(len(which), np.int64)
+        cut = np.searchsorted(contexts, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).tolist()
+        order = np.argsort(which, kind="stable")
+        edge = np.searchsorted(which[order], [0, *cut, len(contexts)]).tolist()
+        for k, (x, y) in enumerate(zip([0, *cut], [*cut, len(contexts)], strict=True)):
+            if y == x or self.files[k] is None:
+                continue
+            n, many_kind, n_multi, kinds, triples, kind, path, under = self.files[k]
+            if not n or not triples:
+                continue
+            keys, many = mapped(path + ".keys", "u8", n), mapped(path + ".many", many_kind, n)
+            counts, ids = mapped(under + ".counts", kind, triples), mapped(under + ".ids", "u4", triples)
+            i = np.minimum(np.searchsorted(keys, contexts[x:y]), n - 1)
+            own = np.where(keys[i] == contexts[x:y], many[i], 0).astype(np.int64)
+            start = _starts(mapped(path + ".blocks", "u4", (n + 15) // 16), many, i)
+            lone = np.flatnonzero(own == 1)
+            c = counts[start[lone]].astype(np.int64)
+            total[x + lone], mass[x + lone] = c, d[np.minimum(c, 3)]
+            full = np.flatnonzero(own > 1)
+            if len(full):
+                m = np.searchsorted(mapped(path + ".multi", "u4", n_multi), i[full])
+                all_, ones, twos = (mapped(f"{path}.{name}", t, n_multi)[m].astype(np.int64) for name, t in zip(("total", "ones", "twos"), kinds, strict=True))
+                total[x + full], mass[x + full] = all_, d[1] * ones + d[2] * twos + d[3] * (own[full] - ones - twos)
+            t = order[edge[k] : edge[k + 1]]
+            t = t[(word[t] >= 0) & (own[which[t] - x] > 0)]
+            low = start[which[t] - x]
+            high = low + own[which[t] - x]
+            end, want = high, word[t].astype(np.uint32)
+            todo = np.flatnonzero(high > low)
+            while len(todo):  # the first successor whose id isn't smaller
+                middle = (low[todo] + high[todo]) >> 1
+                less = ids[middle] < want[todo]
+                low[todo] = np.where(less, middle + 1, low[todo])
+                high = high.copy() if high is end else high
+                high[todo] = np.where(less, high[todo], middle)
+                todo = todo[high[todo] > low[todo]]
+            at = np.minimum(low, triples - 1)
+            times[t] = np.where((low < end) & (ids[at] == want), counts[at], 0)
+        return total, mass, times
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """D(0), D(1), D(2), D(3+) from the numbers of n-grams of count 1 to 4."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
@@ -258,7 +325,7 @@ def discounts(n: list[int]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """V words of N tokens; arrays by word id, the start mark being id V."""
+    """V words of N tokens; arrays by word id, the start mark being id V. Triples are there at order 3."""
 
     V: int
     N: int
@@ -273,6 +340,8 @@ class Model:
     d_word: np.ndarray
     pair_types: int
     word_ones: tuple[int, int, int]
+    triples: Successors | None = None
+    d_triple: np.ndarray | None = None
 
     def unigram(self, n: np.ndarray) -> np.ndarray:
         """Probability of a word with n distinct predecessors; 0 is an unknown word, one of V + 1 kinds."""
@@ -283,7 +352,7 @@ class Model:
 
     def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every token: its training count, and its probability in the base and in the model, as log10."""
-        both = np.concatenate([t.token, t.before])
+        both = np.concatenate([t.token, t.before, t.earlier] if self.triples else [t.token, t.before])
         known, back = np.unique(both, return_inverse=True)
         place, count = self.words.find(known)
         ids = np.where(count > 0, place, -1)
@@ -295,7 +364,7 @@ class Model:
             own[by_id] = np.where(ids[by_id] >= 0, getattr(self, name).take(np.maximum(ids[by_id], 0)), 0)
             stats[name] = own
         n = len(t.token)
-        w, u = back[:n], back[n:]
+        w, u = back[:n], back[n : 2 * n]
         c = count[w]
         base = np.log10((count + 0.5) / (self.N + 0.5 * (self.V + 1)))[w]
         low = self.unigram(stats["preceded"])[w]
@@ -308,7 +377,19 @@ class Model:
         keys, again = np.unique(key, return_inverse=True)
         times = self.pairs.find(keys)[1][again]
         seen[may] = (times - self.d_pair[np.minimum(times, 3)]) / total[u[may]]
-        return c, base, np.log10(seen + left * low)
+        low = seen + left * low
+        if self.triples:
+            first, then = ids[back[2 * n :]], ids[u]
+            both = (first >= 0) & (then >= 0)
+            key = ((first[both].astype(np.uint64) << np.uint64(32)) | then[both].astype(np.uint64)) * GOLDEN
+            contexts, again = np.unique(key, return_inverse=True)
+            which = np.full(n, -1)
+            which[both] = again
+            total, mass, times = self.triples.find(contexts, which, np.where(c > 0, ids[w], -1), self.d_triple)
+            total, mass = np.append(total, 0)[which], np.append(mass, 0.0)[which]
+            some = np.maximum(total, 1)
+            low = (times - self.d_triple[np.minimum(times, 3)]) / some + np.where(total > 0, mass / some, 1.0) * low
+        return c, base, np.log10(low)
 
 
 def _gather(docs: DataFrame, bits: int, keys_of: Callable[[Tokens], np.ndarray]) -> DataFrame:
@@ -337,12 +418,56 @@ def _gather(docs: DataFrame, bits: int, keys_of: Callable[[Tokens], np.ndarray])
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary")
 
 
-def train(spark: SparkSession, docs: DataFrame) -> Model:
-    """Counts docs(text); a null text is an empty document.
+def _counted(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in ascending order, and the sums of their counts."""
+    if not len(context):
+        return context, word, counts
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    first = np.concatenate([[0], np.flatnonzero((context[1:] != context[:-1]) | (word[1:] != word[:-1])) + 1])
+    return context[first], word[first], np.add.reduceat(counts[order], first)
+
+
+def _gather_triples(docs: DataFrame, bits: int, parts_of: Callable[[Tokens], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(bucket, keys, many, words, counts): contexts by their top bits, and the words that follow each, summed up in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            context, word, counts = _counted(*(np.concatenate(c) for c in zip(*sums, strict=True)))
+            cut = np.searchsorted(context, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
+            rows = []
+            for b, (x, y) in enumerate(zip([0, *cut], [*cut, len(context)], strict=True)):
+                if y > x:
+                    keys, many = np.unique(context[x:y], return_counts=True)
+                    rows.append((b, _packed(keys), _column(many), _column(word[x:y]), _column(counts[x:y])))
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "keys", "many", "words", "counts"])
+
+        for b in batches:
+            for t in tokens(b.column(0).to_pylist()):
+                context, word = parts_of(t)
+                sums.append(_counted(context, word, np.ones(len(word), np.int64)))
+                size += len(sums[-1][0])
+                if size >= FLUSH:
+                    yield from flush()
+                    sums, size = [], 0
+        if sums:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, many binary, words binary, counts binary")
+
+
+def train(spark: SparkSession, docs: DataFrame, order: int = 3) -> Model:
+    """Counts docs(text) for a model of order 2 or 3; a null text is an empty document.
 
     Ranges are as many as shuffle partitions or, where there are more, as input partitions, rounded up to a power of 2:
     so what a task merges doesn't grow with the corpus.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     folder = shared_dir(spark, "kneser-ney")
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("text").rdd.getNumPartitions())
     bits = max(ranges - 1, 1).bit_length()
@@ -356,39 +481,94 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         _write(path + ".values", counts_small)
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "path": [path], "kind": [f"u{counts_small.itemsize}"], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    shards = stored(_gather(docs, bits, lambda t: t.token).groupBy("bucket").applyInArrow(merge_words, "bucket int, path string, kind string, n bigint, tokens bigint"), "words").collect()
+    table = stored(_gather(docs, bits, lambda t: t.token).groupBy("bucket").applyInArrow(merge_words, "bucket int, path string, kind string, n bigint, tokens bigint"), "words")
+    shards = table.collect()  # a row a range
+    release(table)
     words = _shards(bits, shards)
     V, N = sum(r.n for r in shards), sum(r.tokens for r in shards)
     if V >= (1 << 32) - 1:
         raise ValueError("a pair of ids must fit in 64 bits: over 2**32 - 2 distinct words")
     step = (V >> bits) + 1
 
-    def pair_keys(t: Tokens) -> np.ndarray:
-        known, back = np.unique(np.concatenate([t.token, t.before]), return_inverse=True)
+    def ids_of(*hashes: np.ndarray) -> list[np.ndarray]:
+        known, back = np.unique(np.concatenate(hashes), return_inverse=True)
         ids = np.where(known == START, V, words.find(known)[0]).astype(np.uint64)
-        n = len(t.token)
-        return ((ids[back[n:]] << np.uint64(32)) | ids[back[:n]]) * GOLDEN
+        return np.split(ids[back], len(hashes))
 
-    def merge_pairs(t: pa.Table) -> pa.Table:
+    def pair_keys(t: Tokens) -> np.ndarray:
+        u, w = ids_of(t.before, t.token)
+        return ((u << np.uint64(32)) | w) * GOLDEN
+
+    def triple_parts(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        u, v, w = ids_of(t.earlier, t.before, t.token)
+        return ((u << np.uint64(32)) | v) * GOLDEN, w.astype(np.uint32)
+
+    def merge_triples(t: pa.Table) -> pa.Table:
+        """Writes a range's triples; returns, by range, the pairs that end them with their distinct first words, and a
+        row about the range itself, its contexts among it."""
         bucket = t["bucket"][0].as_py()
-        keys, counts = summed(np.concatenate([_unpacked(k) for k in t["keys"].to_pylist()]), np.concatenate([_from_column(c) for c in t["counts"].to_pylist()]))
-        path = f"{folder}/pairs-{bucket}-{os.urandom(8).hex()}"
+        many = [_from_column(c) for c in t["many"].to_pylist()]
+        context = np.concatenate([np.repeat(_unpacked(k), m) for k, m in zip(t["keys"].to_pylist(), many, strict=True)])
+        word = np.concatenate([_from_column(c) for c in t["words"].to_pylist()]).astype(np.uint32)
+        context, word, counts = _counted(context, word, np.concatenate([_from_column(c) for c in t["counts"].to_pylist()]))
+        path, small = f"{folder}/triples-{bucket}-{os.urandom(8).hex()}", _small(counts)
+        _write(path + ".ids", word)
+        _write(path + ".counts", small)
+        keys, first, number = np.unique(context, return_index=True, return_counts=True)
+        stats = [np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2)]
+        own = [_column(number), *(_column(x[number > 1]) for x in stats)]
+        about = f"u{small.itemsize},{len(word)},{','.join(str(int((counts == k).sum())) for k in (1, 2, 3, 4))},{path}".encode()
+        rows = [(bucket, _packed(keys), own[0], own[1], own[2], own[3], about)]
+        then = (context * UNMIX) & np.uint64((1 << 32) - 1)
+        ending, before = np.unique(((then << np.uint64(32)) | word.astype(np.uint64)) * GOLDEN, return_counts=True)
+        rows += [(b, k, c[0], b"", b"", b"", b"") for b, k, c in _ranges(ending, bits, before)]
+        names = ["bucket", "keys", "c0", "c1", "c2", "c3", "about"]
+        kinds = [pa.int32(), *[pa.binary()] * 6]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+
+    def merge_pairs(t: pa.Table) -> pa.Table:
+        """Writes a range's pairs, their counts and what is known of their successors; returns statistics by word id."""
+        bucket, rows = t["bucket"][0].as_py(), t.to_pylist()
+        counted = [r for r in rows if not r.get("about")]
+        none = np.zeros(0, np.uint64)
+        keys, counts = summed(np.concatenate([none, *(_unpacked(r["keys"]) for r in counted)]), np.concatenate([none.astype(np.int64), *(_from_column(r["c0"]) for r in counted)]))
+        path, about = f"{folder}/pairs-{bucket}-{os.urandom(8).hex()}", b""
+        for r in rows:
+            if not r.get("about"):
+                continue
+            contexts, number = _unpacked(r["keys"]), _from_column(r["c0"])
+            everything = np.union1d(keys, contexts)
+            spread = np.zeros(len(everything), np.int64)
+            spread[np.searchsorted(everything, keys)] = counts
+            keys, counts = everything, spread
+            at, many = np.searchsorted(keys, contexts), np.zeros(len(keys), np.int64)
+            many[at] = number
+            arrays = {"many": _small(many), "blocks": (np.cumsum(many) - many)[::16].astype(np.uint32), "multi": at[number > 1].astype(np.uint32)}
+            arrays |= {name: _small(_from_column(r[c])) for name, c in (("total", "c1"), ("ones", "c2"), ("twos", "c3"))}
+            for name, x in arrays.items():
+                _write(f"{path}.{name}", x)
+            about = ",".join([f"u{arrays['many'].itemsize}", str(len(arrays["multi"])), *(f"u{arrays[k].itemsize}" for k in ("total", "ones", "twos"))]).encode() + b"," + r["about"]
         small = _small(counts)
         _write(path + ".keys", keys)
         _write(path + ".values", small)
-        pair = keys * UNMIX
-        u, total, ones, twos, more = summed((pair >> np.uint64(32)).astype(np.int64), counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64))
+        real = counts > 0
+        pair, seen = keys[real] * UNMIX, counts[real]
+        out = [(-1, bucket, path.encode(), [f"u{small.itemsize}".encode(), str(len(keys)).encode(), b",".join(str(int(k)).encode() for k in (*((seen == k).sum() for k in (1, 2, 3, 4)), len(seen))), about])]
+        u, total, ones, twos, more = summed((pair >> np.uint64(32)).astype(np.int64), seen, *((seen == k).astype(np.int64) for k in (1, 2)), (seen > 2).astype(np.int64))
         w, preceded = summed((pair & np.uint64((1 << 32) - 1)).astype(np.int64), np.ones(len(pair), np.int64))
-        rows = [(-1, bucket, path.encode(), [f"u{small.itemsize}".encode(), str(len(keys)).encode(), b",".join(str(int((counts == k).sum())).encode() for k in (1, 2, 3, 4)), b""])]
         for kind, ids, columns in ((0, u, (total, ones, twos, more)), (1, w, (preceded,))):
             cut = np.searchsorted(ids, np.arange(0, (V // step) + 2) * step)
             for k in range(len(cut) - 1):
                 x, y = int(cut[k]), int(cut[k + 1])
                 if y > x:
-                    rows.append((kind, k, _packed(ids[x:y].astype(np.uint64)), [*(_column(c[x:y]) for c in columns), b"", b"", b""][:4]))
-        return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "ids": pa.array([r[2] for r in rows], pa.binary()), **{f"c{j}": pa.array([r[3][j] for r in rows], pa.binary()) for j in range(4)}})
-
-    merged = stored(_gather(docs, bits, pair_keys).groupBy("bucket").applyInArrow(merge_pairs, "kind int, part int, ids binary, c0 binary, c1 binary, c2 binary, c3 binary"), "pairs")
+                    out.append((kind, k, _packed(ids[x:y].astype(np.uint64)), [*(_column(c[x:y]) for c in columns), b"", b"", b""][:4]))
+        return pa.table({"kind": pa.array([r[0] for r in out], pa.int32()), "part": pa.array([r[1] for r in out], pa.int32()), "ids": pa.array([r[2] for r in out], pa.binary()), **{f"c{j}": pa.array([r[3][j] for r in out], pa.binary()) for j in range(4)}})
+
+    if order == 3:
+        gathered = _gather_triples(docs, bits, triple_parts).groupBy("bucket").applyInArrow(merge_triples, "bucket int, keys binary, c0 binary, c1 binary, c2 binary, c3 binary, about binary")
+    else:
+        gathered = _gather(docs, bits, pair_keys).withColumnRenamed("counts", "c0")
+    merged = stored(gathered.groupBy("bucket").applyInArrow(merge_pairs, "kind int, part int, ids binary, c0 binary, c1 binary, c2 binary, c3 binary"), "pairs")
     found = merged.filter("kind = -1").collect()  # a row a range
     pairs = _shards(bits, [_Shard(r.part, r.ids.decode(), r.c0.decode(), int(r.c1)) for r in found])
     of_pairs = [sum(int(r.c2.split(b",")[k]) for r in found) for k in range(4)]
@@ -407,7 +587,9 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         names = ["name", "part", "path", "kind", "n", "n1", "n2", "n3", "n4", "many"]
         return pa.table({k: list(c) for k, c in zip(names, zip(*rows, strict=True), strict=True)})
 
-    stats = stored(merged.filter("kind >= 0").groupBy("kind", "part").applyInArrow(merge_stats, "name string, part bigint, path string, kind string, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, many bigint"), "stats").collect()
+    table = stored(merged.filter("kind >= 0").groupBy("kind", "part").applyInArrow(merge_stats, "name string, part bigint, path string, kind string, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, many bigint"), "stats")
+    stats = table.collect()  # five rows a range
+    release(table, merged)
 
     def dense(name: str) -> Dense:
         own = {r.part: (r.path, r.kind, r.n) for r in stats if r.name == name}
@@ -416,7 +598,17 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     of_words = [r for r in stats if r.name == "preceded"]
     counts = [sum(r[f"n{k}"] for r in of_words) for k in (1, 2, 3, 4)]
     word_ones = (counts[0], counts[1], sum(r.many for r in of_words))
-    return Model(V, N, words, pairs, dense("total"), dense("ones"), dense("twos"), dense("more"), dense("preceded"), discounts(of_pairs), discounts(counts), sum(n for _, _, n in pairs.files), word_ones)
+    types = sum(int(r.c2.split(b",")[4]) for r in found)
+    triples, d_triple, of_triples = None, None, [0] * 4
+    if order == 3:
+        files: list[tuple | None] = [None] * (1 << bits)
+        for r in found:
+            if r.c3:
+                many, multi, total, ones, twos, kind, n, *of, under = bytes(r.c3).decode().split(",", 11)
+                files[r.part] = (int(r.c1), many, int(multi), (total, ones, twos), int(n), kind, r.ids.decode(), under)
+                of_triples = [a + int(b) for a, b in zip(of_triples, of, strict=True)]
+        triples, d_triple = Successors(bits, tuple(files)), discounts(of_triples)
+    return Model(V, N, words, pairs, dense("total"), dense("ones"), dense("twos"), dense("more"), dense("preceded"), discounts(of_pairs), discounts(counts), types, word_ones, triples, d_triple)
 
 
 @dataclass

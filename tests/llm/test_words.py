@@ -98,41 +98,52 @@ def words(text):
     return (text or "").encode().lower().split() + ["END"]
 
 
-def test_kneser_ney_against_brute_force(spark, sf):
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()[:120] + [(10**6, None), (10**6 + 1, " A b \n" + "é" * 200)]
+def ngrams_of(docs, n):
+    """Counts of n-grams of the documents' words, which follow start marks."""
+    out = Counter()
+    for w in docs:
+        padded = ["START"] * (n - 1) + w
+        out.update(zip(*(padded[k:] for k in range(n)), strict=False))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_against_brute_force(spark, sf, order):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()[:120] + [(10**6, None), (10**6 + 1, " A b \n" + "é" * 200), (10**6 + 2, "a a a a a a a a")]
     d = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
-    known = [r for r in rows if r[0] % 5 != 1]
-    model = kneser_ney.train(spark, d.filter("doc_id % 5 <> 1"))
-    uni, bi = Counter(), Counter()
-    for r in known:
-        w = words(r[1])
-        uni.update(w)
-        bi.update(zip(["START", *w], w))
+    model = kneser_ney.train(spark, d.filter("doc_id % 5 <> 1"), order)
+    known = [words(r[1]) for r in rows if r[0] % 5 != 1]
+    uni = Counter(x for w in known for x in w)
     V, N = len(uni), sum(uni.values())
-    assert (model.V, model.N, model.pair_types) == (V, N, len(bi))
-    before = Counter(w for _, w in bi)
-    D = kneser_ney.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
-    E = kneser_ney.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    total, mass = Counter(), defaultdict(float)
-    for (u, _), c in bi.items():
-        total[u] += c
-        mass[u] += D[min(c, 3)]
-    spread = sum(E[min(c, 3)] for c in before.values()) / len(bi)
-
-    def p(u, w):
-        low = ((before[w] - E[min(before[w], 3)]) / len(bi) if before[w] else 0) + spread / (V + 1)
-        c = bi[u, w]
-        return ((c - D[min(c, 3)]) / total[u] if c else 0) + mass[u] / total[u] * low if total[u] else low
-
-    assert abs(sum(p("START", w) for w in uni) + p("START", "unknown") - 1) < 1e-9
+    counts = {order: ngrams_of(known, order)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    assert (model.V, model.N, model.pair_types) == (V, N, len(counts[2]))
+    D = {n: kneser_ney.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for n, c in counts.items()}
+    total, mass = {n: Counter() for n in counts}, {n: defaultdict(float) for n in counts}
+    for n, c in counts.items():
+        for g, x in c.items():
+            total[n][g[:-1]] += x
+            mass[n][g[:-1]] += D[n][min(x, 3)]
+
+    def p(g):
+        n, x = len(g), counts[len(g)][g]
+        low = p(g[1:]) if n > 1 else 1 / (V + 1)
+        t = total[n][g[:-1]]
+        return (x - D[n][min(x, 3)]) / t + mass[n][g[:-1]] / t * low if t else low
+
+    start = ("START",) * (order - 1)
+    assert abs(sum(p((*start, w)) for w in uni) + p((*start, "unknown")) - 1) < 1e-9
     for r in kneser_ney.score(spark, d, model, ("doc_id",)).collect():
         w = words(next(x[1] for x in rows if x[0] == r.doc_id))
         assert r.n_tokens == len(w) and r.n_known == sum(x in uni for x in w) and r.train_tokens == N
         assert math.isclose(r.base_score, sum(math.log10((uni[x] + 0.5) / (N + 0.5 * (V + 1))) for x in w), rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(u, x)) for u, x in zip(["START", *w], w)), rel_tol=1e-9, abs_tol=1e-9)
+        padded = [*start, *w]
+        assert math.isclose(r.score, sum(math.log10(p(tuple(padded[k : k + order]))) for k in range(len(w))), rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_kneser_ney_odd_rows_and_nothing_to_learn(spark, odd):
+    assert pytest.raises(ValueError, kneser_ney.train, spark, odd, 4)
     model = kneser_ney.train(spark, odd.limit(0))
     rows = kneser_ney.score(spark, odd.drop("score"), model, ("doc_id", "k")).collect()
     assert len(rows) == len(ODD) and {r.n_known for r in rows} == {0}
@@ -142,13 +153,13 @@ def test_kneser_ney_odd_rows_and_nothing_to_learn(spark, odd):
 
 def test_kneser_ney_tokens_in_parts():
     texts = [t for _, t in ODD] + ["w%d " % i * 9 for i in range(30)]
-    whole = [(t.row, t.token, t.before) for t in kneser_ney.tokens(texts)]
+    whole = [(t.row, t.token, t.before, t.earlier) for t in kneser_ney.tokens(texts)]
     old, kneser_ney.BLOCK = kneser_ney.BLOCK, 16
     try:
-        parts = [(t.row, t.token, t.before) for t in kneser_ney.tokens(texts)]
+        parts = [(t.row, t.token, t.before, t.earlier) for t in kneser_ney.tokens(texts)]
     finally:
         kneser_ney.BLOCK = old
-    for k in range(3):
+    for k in range(4):
         assert (np.concatenate([x[k] for x in whole]) == np.concatenate([x[k] for x in parts])).all()
 
 
