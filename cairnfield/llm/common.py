@@ -127,5 +127,5 @@ def components(edges: DataFrame) -> DataFrame:
         if row == mark:
             break
         mark = row
-    roots = now.selectExpr("a AS node", "b AS root")
+    roots = now.selectExpr("a AS node", "b AS root")  # the result reads the last table
     return roots.union(roots.selectExpr("root", "root").distinct())

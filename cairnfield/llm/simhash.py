@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, release, stored
 
 #: The lower bit of each segment, and half of a word.
 LOW, HALF = 0x5555555555555555, 0xFFFFFFFF
@@ -79,8 +79,10 @@ def embedding(fp: Column) -> Column:
     return up.bitwiseOR(fp).bitwiseAND(low).bitwiseOR(F.shiftleft(up.bitwiseAND(fp).bitwiseAND(low), 1))
 
 
-def _half(word: Column, k: int) -> Column:
-    return (F.shiftrightunsigned(word, 32) if k == 0 else word).bitwiseAND(F.lit(HALF))
+def _halves(fp: Column) -> Column:
+    """The fingerprint's cells in the two grids."""
+    e = embedding(fp)
+    return F.array(F.shiftrightunsigned(e, 32), e.bitwiseAND(F.lit(HALF)))
 
 
 def _near(cell: Column) -> Column:
@@ -108,27 +110,38 @@ def links(fps: DataFrame, distance: int = 3, dense: int = 64) -> DataFrame:
     """(a, b) over distinct fingerprints fps(fp): links whose components are those of "differ in <= distance bits".
 
     Where `dense` fingerprints or more share a cell (many versions of one text), those cells' members are linked
-    through _flip_links first, and the join leaves out pairs that this has connected: no component changes, and no
-    cell returns all its pairs. distance is at most 3.
+    through _flip_links first. Such a cell has a main root then, the most frequent one; two members that both have it
+    need no comparison, so its join takes the others against all: no component changes, and no cell compares all
+    its pairs. distance is at most 3.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves hold distances up to 3")
-    grid = fps.select("fp", embedding(F.col("fp")).alias("e"))
-    cells = grid.select("fp", "e", F.posexplode(F.array(_half(F.col("e"), 0), _half(F.col("e"), 1))).alias("k", "cell"))
-    counts = cells.groupBy("k", "cell").agg(F.count("*").alias("n")).filter(F.col("n") >= dense)
-    crowd = stored(cells.join(counts, ["k", "cell"], "left_semi").select("fp").distinct(), "crowd")
+    own = fps.select("fp", F.posexplode(_halves(F.col("fp"))).alias("k", "cell"))
+    counts = own.groupBy("k", "cell").agg(F.count("*").alias("n")).filter(F.col("n") >= dense)
+    crowd = stored(own.join(counts, ["k", "cell"], "left_semi").select("fp").distinct(), "crowd")
     first = stored(_flip_links(crowd) if distance >= 2 else crowd.selectExpr("fp AS a", "fp AS b").limit(0), "flips")
-    known = grid.join(components(first).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = stored(known, "grid")
-    own = known.select(F.col("fp").alias("a"), F.col("e").alias("ea"), F.col("root").alias("ra"), F.posexplode(F.array(_half(F.col("e"), 0), _half(F.col("e"), 1))).alias("k", "cell"))
-    near = known.select(F.col("fp").alias("b"), F.col("e").alias("eb"), F.col("root").alias("rb"), F.posexplode(F.array(_near(_half(F.col("e"), 0)), _near(_half(F.col("e"), 1)))).alias("k", "cells"))
-    near = near.select("b", "eb", "rb", "k", F.explode("cells").alias("cell"))
-    close = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-    bound = F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= distance
+    roots = components(first).withColumnRenamed("node", "fp").filter("fp <> root")
+    known = stored(fps.join(roots, "fp", "left").select("fp", "root"), "grid")  # null: its own root
+    own = known.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.posexplode(_halves(F.col("fp"))).alias("k", "cell"))
+    of = F.coalesce("ra", "a")
+    main = own.join(counts.select("k", "cell"), ["k", "cell"]).groupBy("k", "cell", of.alias("r")).agg(F.count("*").alias("n"))
+    main = stored(main.groupBy("k", "cell").agg(F.max_by("r", F.struct("n", "r")).alias("main")), "main")
+    own = own.join(main, ["k", "cell"], "left").withColumn("usual", F.coalesce(of == F.col("main"), F.lit(False)))
+    near = known.select(F.col("fp").alias("b"), F.col("root").alias("rb"), F.posexplode(F.transform(_halves(F.col("fp")), _near)).alias("k", "cells"))
+    near = near.select("b", "rb", "k", F.explode("cells").alias("cell"))
+    close = (F.col("a") < F.col("b")) & (of != F.coalesce("rb", "b"))
+    bound = F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))) <= distance
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    keys = (own["k"] == near["k"]) & (own["cell"] == near["cell"])
-    found = own.join(near, keys & close & bound & exact).select("a", "b")
-    return first.union(found).distinct()
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, (left["k"] == right["k"]) & (left["cell"] == right["cell"]) & close & bound & exact).select("a", "b")
+
+    few = own.filter("NOT usual").drop("usual", "main")
+    most = own.filter("usual").drop("usual", "main")
+    strangers = near.join(main, ["k", "cell"]).filter(F.coalesce("rb", "b") != F.col("main")).drop("main")
+    out = stored(first.union(met(few, near)).union(met(most, strangers)).distinct(), "links")
+    release(crowd, first, known, main)
+    return out
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3) -> DataFrame:
@@ -140,10 +153,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3) -> DataFrame
     """
     rows = stored(fingerprints(docs, n), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    linked = components(links(classes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    pairs = links(classes.select("fp"), distance)
+    linked = components(pairs).withColumnRenamed("node", "fp")
     rooted = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(least, "root").select("fp", "component_id"), "components")
+    release(pairs, classes)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
