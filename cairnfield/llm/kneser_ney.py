@@ -460,8 +460,9 @@ def _gather_triples(docs: DataFrame, bits: int, parts_of: Callable[[Tokens], tup
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, many binary, words binary, counts binary")
 
 
-def train(spark: SparkSession, docs: DataFrame, order: int = 3) -> Model:
-    """Counts docs(text) for a model of order 2 or 3; a null text is an empty document.
+def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
+    """Counts docs(text) for a model of order 2 or 3; a null text is an empty document. Order 3 takes some three times the
+    disk of order 2, for its triples in shuffles and shards.
 
     Ranges are as many as shuffle partitions or, where there are more, as input partitions, rounded up to a power of 2:
     so what a task merges doesn't grow with the corpus.

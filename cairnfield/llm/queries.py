@@ -47,7 +47,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every text, learnt where the remainder mod 5 is not 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(5) == 1).alias("held_out"))
-    model = kneser_ney.train(spark, docs.filter(~F.col("held_out")))
+    model = kneser_ney.train(spark, docs.filter(~F.col("held_out")), order=2)
     return kneser_ney.score(spark, docs, model, ("doc_id", "held_out"))
 
 
