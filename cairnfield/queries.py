@@ -38,6 +38,19 @@ def _hub(edges: DataFrame) -> DataFrame:
     return top.select(F.col("target").alias("root"), F.col("target").alias("node"))
 
 
+#: How far dependents are followed where impact is computed for every file.
+DEPTH = 5
+
+#: Files that changed: those with a line of the largest quantity.
+_CHANGED_SQL = "changed AS (SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_quantity >= 50)"
+
+
+def _changed(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """The rows of files that changed."""
+    changed = table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("node"))
+    return rows.join(changed.distinct(), "node", "left_semi")
+
+
 _HUB = "hub AS (SELECT target AS root FROM edges GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
 
 
@@ -134,13 +147,14 @@ def f12_date_keys(spark, d):
     return e.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), week.alias("week"), ago.cast("long").alias("days_ago"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS t FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b, a.t AS x, b.t AS y FROM n a JOIN n b ON a.p_name < b.p_name AND a.p_name LIKE 'b%')
+@query("""WITH n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS t FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b, a.t AS x, b.t AS y FROM n a JOIN n b ON a.p_name < b.p_name AND list_has_any(a.t, b.t))
 SELECT a, b, round(2.0 * len(list_intersect(x, y)) / (len(list_distinct(x)) + len(list_distinct(y))), 6) AS dice, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM p""")
 def f6_name_similarity(spark, d):
-    n = table(spark, d, "part").select("p_name").distinct()
-    x, y = name_tokens(F.col("a")), name_tokens(F.col("b"))
-    p = n.filter(F.col("p_name").startswith("b")).select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
-    return p.select("a", "b", F.round(dice(x, y), 6).alias("dice"), F.round(jaccard(x, y), 6).alias("jaccard"))
+    """Pairs of names with a token in common; every other pair is 0 alike, by both measures, and has no row."""
+    n = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct().withColumn("x", name_tokens(F.col("a")))
+    left = n.select("a", "x", F.explode("x").alias("t"))
+    p = left.join(left.select(F.col("a").alias("b"), F.col("x").alias("y"), "t"), "t").filter("a < b").drop("t").distinct()
+    return p.select("a", "b", F.round(dice(F.col("x"), F.col("y")), 6).alias("dice"), F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
 # Joins
@@ -196,15 +210,15 @@ def g18_orphans(spark, d):
 
 
 @query(with_ctes("files edges", """, c AS (SELECT source, target, x.node, CASE WHEN y.package = x.package THEN 40 ELSE 0 END + CASE WHEN y.ext = x.ext THEN 10 ELSE 0 END AS score, importer, name
-  FROM (SELECT source AS importer, target, source, string_split(p_name, ' ')[1] AS name FROM edges JOIN part ON p_partkey = source WHERE source % 10 = 0) w
+  FROM (SELECT source AS importer, target, source, string_split(p_name, ' ')[1] AS name FROM edges JOIN part ON p_partkey = source) w
   JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS n, p_partkey AS k FROM part WHERE p_partkey % 7 <> 0) e ON e.n = w.name JOIN files x ON x.node = e.k JOIN files y ON y.node = w.importer),
 u AS (SELECT DISTINCT importer, name, node, score FROM c),
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS next FROM u WINDOW w AS (PARTITION BY importer, name ORDER BY score DESC, node))
 SELECT importer, name, node, score FROM r WHERE r = 1 AND (next IS NULL OR score - next >= 20)"""))
 def j22_best_symbol(spark, d):
-    """Whom a name means, for every tenth importer; the selection is the query's, not a limit of the operator."""
+    """Whom a name means, for every importer."""
     f = domain.files(spark, d)
-    wanted = domain.import_records(spark, d).filter("source % 10 = 0").select(F.col("source").alias("importer"), F.col("imported").alias("name")).distinct()
+    wanted = domain.import_records(spark, d).select(F.col("source").alias("importer"), F.col("imported").alias("name")).distinct()
     return findings.best_symbol(wanted, domain.export_records(spark, d), f)
 
 
@@ -427,10 +441,10 @@ def g5_impact_stats(spark, d):
     return graph.impact_stats(e, _hub(e), 5)
 
 
-@query(with_ctes("files edges", ", " + _levels_sql(2, "w.node IN (SELECT node FROM files WHERE is_entry)", "SELECT node, node, 0 FROM files") + " SELECT root, count(*) FILTER (level = 1) AS direct, count(*) AS reached FROM seen WHERE level > 0 GROUP BY root", True))
+@query(with_ctes("files edges", ", " + _levels_sql(DEPTH, "w.node IN (SELECT node FROM files WHERE is_entry)", "SELECT node, node, 0 FROM files") + " SELECT root, count(*) FILTER (level = 1) AS direct, count(*) AS reached FROM seen WHERE level > 0 GROUP BY root", True))
 def g6_all_files_impact(spark, d):
     f, e = _base(spark, d)
-    r = graph.impact_radius(f, e, f.select(F.col("node").alias("root"), "node"), 2)
+    r = graph.impact_radius(f, e, f.select(F.col("node").alias("root"), "node"), DEPTH)
     return r.groupBy("root").agg(F.sum((F.col("level") == 1).cast("long")).alias("direct"), F.count("*").alias("reached"))
 
 
@@ -440,19 +454,19 @@ def g10_affected_tests(spark, d):
     return graph.affected_tests(f, e, _hub(e), 5)
 
 
-@query(with_ctes("files edges", f""", {_HUB}, p(root, node, path, depth) AS (SELECT root, root, [root], 0 FROM hub UNION ALL SELECT root, e.source, list_append(path, e.source), depth + 1 FROM p JOIN edges e ON e.target = p.node WHERE depth < 3 AND NOT list_contains(path, e.source)),
+@query(with_ctes("files edges", f""", {_HUB}, p(root, node, path, depth) AS (SELECT root, root, [root], 0 FROM hub UNION ALL SELECT root, e.source, list_append(path, e.source), depth + 1 FROM p JOIN edges e ON e.target = p.node WHERE depth < {DEPTH} AND NOT list_contains(path, e.source)),
 r AS (SELECT root, node AS entry, path, depth, row_number() OVER (ORDER BY depth, path) AS rank FROM p WHERE depth > 0 AND node IN (SELECT node FROM files WHERE is_entry AND NOT is_test)) SELECT root, entry, path, depth, rank FROM r WHERE rank <= 50""", True))
 def g11_entry_paths(spark, d):
     f, e = _base(spark, d)
-    return graph.entry_paths(f, e, _hub(e), 3).withColumn("rank", F.col("rank").cast("long"))
+    return graph.entry_paths(f, e, _hub(e), DEPTH).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(with_ctes("files edges", f""", {_HUB}, w(root, node, level, implicit) AS (SELECT root, root, 0, false FROM hub UNION SELECT root, e.source, level + 1, implicit OR tier = 'tier3' FROM w JOIN edges e ON e.target = w.node WHERE level < 3),
+@query(with_ctes("files edges", f""", {_HUB}, w(root, node, level, implicit) AS (SELECT root, root, 0, false FROM hub UNION SELECT root, e.source, level + 1, implicit OR tier = 'tier3' FROM w JOIN edges e ON e.target = w.node WHERE level < {DEPTH}),
 s AS (SELECT root, node, min(level) AS level, bool_and(implicit) AS implicit FROM w GROUP BY ALL) SELECT root, node AS file, 'GET' AS method, '/r/' || node % 100 AS route, level, implicit FROM s WHERE node IN (SELECT node FROM files WHERE is_entry)""", True))
 def g12_affected_routes(spark, d):
     f, e = _base(spark, d)
     routes = f.filter("is_entry").select(F.col("node").alias("file"), F.lit("GET").alias("method"), F.concat(F.lit("/r/"), F.col("node") % 100).alias("route"))
-    return graph.affected_routes(f, e, routes, _hub(e), 3)
+    return graph.affected_routes(f, e, routes, _hub(e), DEPTH)
 
 
 @query(with_ctes("edges", f""", {_HUB.replace('hub AS', 'top AS').replace('target AS root', 'source AS root').replace('GROUP BY target', 'GROUP BY source').replace(', target LIMIT', ', source LIMIT')}, capped AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS n FROM edges) WHERE n <= 5),
@@ -486,22 +500,21 @@ def g2_architecture_pagerank(spark, d):
     return graph.pagerank(f.filter("NOT is_test"), p12_architecture_edges(spark, d), 10).select("node", F.round("rank", 9).alias("rank"))
 
 
-_STRICT = "strict AS (SELECT source, target FROM edges WHERE NOT is_lazy AND tier = 'tier1' AND source % 3 <> 0)"
-_SCC = f"{_STRICT}, reach(a, b) AS (SELECT source, target FROM strict UNION SELECT a, target FROM reach JOIN strict ON source = b), member AS (SELECT x.a AS node, least(min(x.b), x.a) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"
+_SCC = "strict AS (SELECT DISTINCT source, target FROM edges WHERE NOT is_lazy AND tier <> 'tier3'), reach(a, b) AS (SELECT source, target FROM strict UNION SELECT a, target FROM reach JOIN strict ON source = b), member AS (SELECT x.a AS node, least(min(x.b), x.a) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"
 
 
-def _strict(spark, d):
-    return graph.cycle_edges(domain.edges(spark, d).filter("tier = 'tier1' AND source % 3 <> 0"))
+def _cycle_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.cycle_edges(domain.edges(spark, d))
 
 
 @query(with_ctes("edges", f", {_SCC} SELECT node, scc FROM member", True))
 def g7_scc(spark, d):
-    return graph.scc(_strict(spark, d))
+    return graph.scc(_cycle_edges(spark, d))
 
 
-@query(with_ctes("edges", f", {_SCC}, p(start, node, path) AS (SELECT source, target, [source, target] FROM strict WHERE target > source UNION ALL SELECT start, s.target, list_append(path, s.target) FROM p JOIN strict s ON s.source = p.node WHERE len(path) < 4 AND s.target > start AND NOT list_contains(path, s.target)), c AS (SELECT path FROM p JOIN strict s ON s.source = p.node AND s.target = p.start), r AS (SELECT scc, path, row_number() OVER (PARTITION BY scc ORDER BY len(path), path) AS r, count(*) OVER (PARTITION BY scc) > 25 AS truncated FROM c JOIN member ON member.node = path[1]) SELECT scc, path, truncated FROM r WHERE r <= 25", True))
+@query(with_ctes("edges", f", {_SCC}, inner_ AS (SELECT source, target FROM strict JOIN member x ON x.node = source JOIN member y ON y.node = target WHERE x.scc = y.scc), p(start, node, path) AS (SELECT source, target, [source, target] FROM inner_ WHERE target > source UNION ALL SELECT start, s.target, list_append(path, s.target) FROM p JOIN inner_ s ON s.source = p.node WHERE len(path) < 8 AND s.target > start AND NOT list_contains(path, s.target)), c AS (SELECT path FROM p JOIN inner_ s ON s.source = p.node AND s.target = p.start), r AS (SELECT scc, path, row_number() OVER (PARTITION BY scc ORDER BY len(path), path) AS r, count(*) OVER (PARTITION BY scc) > 25 AS truncated FROM c JOIN member ON member.node = path[1]) SELECT scc, path, truncated FROM r WHERE r <= 25", True))
 def g8_cycles(spark, d):
-    return graph.cycles(_strict(spark, d), longest=4)
+    return graph.cycles(_cycle_edges(spark, d))
 
 
 @query(with_ctes("edges", f", {_SCC} SELECT count(DISTINCT scc) AS scc_count, count(*) AS members FROM member", True))
@@ -538,10 +551,10 @@ def g22_split_suggestions(spark, d):
     return graph.degrees(f, e).filter("total > 10").join(f.select("node", "path"), "node").select("node", "path", "total").orderBy(F.desc("total"), "path").limit(3)
 
 
-@query(with_ctes("files edges", ", " + _levels_sql(3, "w.node IN (SELECT node FROM files WHERE is_entry)", "SELECT 0, node, 0 FROM files WHERE node < 5") + " SELECT count(*) FILTER (level = 1) AS direct, count(*) FILTER (level > 1) AS transitive, count(*) FILTER (level = 1) > 50 OR count(*) FILTER (level > 1) > 50 AS blocked FROM seen WHERE level > 0", True))
+@query(with_ctes("files edges", f", {_CHANGED_SQL}, " + _levels_sql(3, "w.node IN (SELECT node FROM files WHERE is_entry)", "SELECT 0, node, 0 FROM files JOIN changed USING (node)") + " SELECT count(*) FILTER (level = 1) AS direct, count(*) FILTER (level > 1) AS transitive, count(*) FILTER (level = 1) > 50 OR count(*) FILTER (level > 1) > 50 AS blocked FROM seen WHERE level > 0", True))
 def g24_guard(spark, d):
     f, e = _base(spark, d)
-    start = f.filter("node < 5").select(F.lit(0).cast("long").alias("root"), "node")
+    start = _changed(spark, d, f).select(F.lit(0).cast("long").alias("root"), "node")
     r = graph.impact_radius(f, e, start, 3)
     out = r.agg(F.sum((F.col("level") == 1).cast("long")).alias("direct"), F.sum((F.col("level") > 1).cast("long")).alias("transitive")).fillna(0)
     return out.withColumn("blocked", (F.col("direct") > 50) | (F.col("transitive") > 50))
@@ -604,7 +617,7 @@ def stability(spark: SparkSession, d: str, loops: DataFrame | None = None) -> Da
     f, e = _base(spark, d)
     tests = f.filter("is_test").select(F.col("node").alias("source"))
     tested = e.join(tests, "source", "left_semi").select(F.col("target").alias("node")).distinct().withColumn("tested", F.lit(True))
-    looped = graph.scc(_strict(spark, d) if loops is None else loops).select("node").withColumn("looped", F.lit(True))
+    looped = graph.scc(_cycle_edges(spark, d) if loops is None else loops).select("node").withColumn("looped", F.lit(True))
     j = f.join(graph.degrees(f, e).select("node", "fan_in"), "node").join(tested, "node", "left").join(looped, "node", "left")
     s = scoring.stability_score(F.coalesce("tested", F.lit(False)), F.col("fan_in"), F.col("is_mainline"), F.coalesce("looped", F.lit(False)), F.col("file_role"))
     return j.select("node", "path", s.alias("score"))
@@ -620,10 +633,10 @@ def a22_mean_stability(spark, d):
     return stability(spark, d).agg(F.round(F.avg("score"), 2).alias("mean_stability"), F.sum((F.col("score") < 40).cast("long")).alias("fragile"))
 
 
-_RADIUS2 = _levels_sql(2, "w.node IN (SELECT node FROM files WHERE is_entry)", "SELECT node, node, 0 FROM files")
+_RADIUS = _levels_sql(DEPTH, "w.node IN (SELECT node FROM files WHERE is_entry)", "SELECT node, node, 0 FROM files")
 
 
-def composite(spark: SparkSession, d: str, depth: int = 2) -> DataFrame:
+def composite(spark: SparkSession, d: str, depth: int = DEPTH) -> DataFrame:
     """Dimensions of every file's risk, from its dependents up to depth."""
     f, e = _base(spark, d)
     r = graph.impact_radius(f, e, f.select(F.col("node").alias("root"), "node"), depth).join(f.select("node", "package", "is_test", "is_entry"), "node")
@@ -639,7 +652,7 @@ def diff_summary(c: DataFrame) -> DataFrame:
     return n.withColumn("severity", scoring.diff_severity(F.col("high_files"), F.col("max_tests"), F.lit(0), F.col("high_composite"), F.col("mainline"), F.col("max_impact"), F.lit(0), F.col("max_score")))
 
 
-_COMP = f"""{_RADIUS2}, per AS (SELECT root, count(*) AS impact, count(DISTINCT package) AS prefixes, count(*) FILTER (is_test) AS tests, count(*) FILTER (is_entry) AS routes FROM seen JOIN files USING (node) WHERE level > 0 GROUP BY root),
+_COMP = f"""{_RADIUS}, per AS (SELECT root, count(*) AS impact, count(DISTINCT package) AS prefixes, count(*) FILTER (is_test) AS tests, count(*) FILTER (is_entry) AS routes FROM seen JOIN files USING (node) WHERE level > 0 GROUP BY root),
 j AS (SELECT f.*, coalesce(impact, 0) AS impact, coalesce(prefixes, 0) AS prefixes, coalesce(tests, 0) AS tests, coalesce(routes, 0) AS routes FROM files f LEFT JOIN per ON per.root = f.node),
 dims AS (SELECT node, file_role, directory_role, is_mainline, impact, tests, CASE WHEN is_entry THEN 3 WHEN routes >= 5 THEN 2 WHEN routes >= 1 THEN 1 ELSE 0 END AS flow, CAST(least(prefixes, 3) AS INT) AS crossing, CASE WHEN tests = 0 AND impact >= 3 THEN 3 WHEN tests = 0 AND impact > 0 THEN 2 WHEN tests IN (1, 2) THEN 1 ELSE 0 END AS test_gap,
   CASE WHEN impact >= 10 THEN 3 WHEN impact >= 5 THEN 2 WHEN impact >= 1 THEN 1 ELSE 0 END AS callers, CASE WHEN regexp_matches(path, 'auth|login|crypt|token|password|key|permission|session|guard|jwt|policy|security') THEN 2 ELSE 0 END AS security FROM j),
@@ -651,17 +664,17 @@ def r7_composite_risk(spark, d):
     return composite(spark, d).drop("file_role", "directory_role", "is_mainline")
 
 
-@query(with_ctes("files edges", f""", {_COMP}, c AS (SELECT * FROM comp WHERE node < 40), n AS (SELECT count(*) AS changed, count(*) FILTER (is_mainline) AS mainline, max(impact) AS max_impact, max(tests) AS max_tests, CAST(max(score) AS INT) AS max_score, count(*) FILTER (impact >= 10 OR tests >= 5) AS high_files, count(*) FILTER (score >= 6) AS high_composite FROM c)
+@query(with_ctes("files edges", f""", {_COMP}, {_CHANGED_SQL}, c AS (SELECT * FROM comp JOIN changed USING (node)), n AS (SELECT count(*) AS changed, count(*) FILTER (is_mainline) AS mainline, max(impact) AS max_impact, max(tests) AS max_tests, CAST(max(score) AS INT) AS max_score, count(*) FILTER (impact >= 10 OR tests >= 5) AS high_files, count(*) FILTER (score >= 6) AS high_composite FROM c)
 SELECT *, CASE WHEN high_files > 0 OR max_tests >= 5 OR high_composite > 0 THEN 'high' WHEN mainline > 0 AND (max_tests > 0 OR max_impact >= 1 OR max_score >= 3) THEN 'medium' ELSE 'low' END AS severity FROM n""", True))
 def a15_diff_summary(spark, d):
-    return diff_summary(composite(spark, d).filter("node < 40"))
+    return diff_summary(_changed(spark, d, composite(spark, d)))
 
 
-@query(with_ctes("files", """, k AS (SELECT CASE WHEN file_role = 'docs' THEN 'docs' WHEN file_role = 'config' THEN 'config' WHEN file_role = 'test' THEN 'tests' WHEN file_role = 'script' THEN 'scripts' ELSE 'code' END AS k FROM files WHERE node < 40 AND directory_role NOT IN ('reference', 'archive')),
+@query(with_ctes("files", f", {_CHANGED_SQL}" + """, k AS (SELECT CASE WHEN file_role = 'docs' THEN 'docs' WHEN file_role = 'config' THEN 'config' WHEN file_role = 'test' THEN 'tests' WHEN file_role = 'script' THEN 'scripts' ELSE 'code' END AS k FROM files JOIN changed USING (node) WHERE directory_role NOT IN ('reference', 'archive')),
 n AS (SELECT count(*) FILTER (k = 'docs') AS docs, count(*) FILTER (k = 'config') AS config, count(*) FILTER (k = 'tests') AS tests, count(*) FILTER (k = 'scripts') AS scripts, count(*) FILTER (k = 'code') AS code, count(*) AS t FROM k)
 SELECT docs, config, tests, scripts, code, CASE WHEN t = 0 THEN 'docs' WHEN docs > t / 2 AND code = 0 AND tests = 0 THEN 'docs' WHEN tests > t / 2 THEN 'tests' WHEN config > t / 2 THEN 'config' WHEN scripts > t / 2 THEN 'scripts' WHEN code > t / 2 THEN 'code' WHEN code / t > 0.2 THEN 'code' WHEN tests > 0 THEN 'tests' WHEN config > 0 THEN 'config' WHEN scripts > 0 THEN 'scripts' WHEN docs > 0 THEN 'docs' ELSE 'code' END AS change_type FROM n"""))
 def a16_change_type(spark, d):
-    return diff.change_type(domain.files(spark, d).filter("node < 40"))
+    return diff.change_type(_changed(spark, d, domain.files(spark, d)))
 
 
 @query(with_ctes("files edges", """, n AS (SELECT (SELECT count(*) FROM edges WHERE target NOT IN (SELECT node FROM files)) AS unresolved, 0 AS cycles, (SELECT count(*) FROM files WHERE NOT is_entry AND NOT is_test AND node NOT IN (SELECT target FROM edges)) AS orphans)
