@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import url_path
-from ..functions.similarity import similarity
+from ..functions.similarity import name_tokens, similarity, structural
 
 
 def baseline(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,18 +94,54 @@ def contracts(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return both.select("method", "path", status.alias("status"), "clients", "servers").fillna(0, ["clients", "servers"])
 
 
+#: Parts of a fingerprint that shape alone compares.
+_SHAPE = ("paramCount", "isAsync", "isGenerator", "hasTryCatch", "branchCount", "returnCount")
+
+
 def reuse_candidates(changed: DataFrame, functions: DataFrame, least: float = 0.5, top: int = 3) -> DataFrame:
     """For each of changed(file, name[, fingerprint]) the most similar functions of other files.
 
-    A pair without a common word in its names still reaches 0.75 by shape, so blocking by words would lose some:
-    every changed function meets every exported one. The changed side is small and is what gets broadcast by size;
-    past that, Spark joins the two block by block.
+    Pairs meet without a product of both sides, and none of `least` or more is lost. Names give a quarter of the score
+    and callees 0.3 of it, so without a common word and a common callee a pair has 0.45 at most, unless neither calls
+    anything. So pairs meet on words and on callees. Those that call nothing meet by shape: shapes are few, each is
+    compared once, and as all functions of a shape are alike but for their words, the first few of each stand for it.
+    A least score that would need other pairs is refused. Repeated rows count once.
     """
     has = "fingerprint" in changed.columns and "fingerprint" in functions.columns
-    a = changed.select(F.col("file").alias("file_a"), F.col("name").alias("name_a"), *([F.col("fingerprint").alias("print_a")] if has else []))
-    b = functions.select(F.col("file").alias("file_b"), F.col("name").alias("name_b"), *([F.col("fingerprint").alias("print_b")] if has else []))
+    if least <= (0.45 if has else 0):
+        raise ValueError("a least score that pairs without anything in common may reach")
+
+    def side(df: DataFrame, k: str) -> DataFrame:
+        print_ = [F.col("fingerprint").alias(f"print_{k}")] if has else []
+        return df.select(F.col("file").alias(f"file_{k}"), F.col("name").alias(f"name_{k}"), *print_).distinct()
+
+    def keyed(df: DataFrame, k: str) -> DataFrame:
+        keys = F.transform(name_tokens(F.col(f"name_{k}")), lambda t: F.concat(F.lit("w:"), t))
+        if has:
+            keys = F.concat(keys, F.coalesce(F.transform(F.col(f"print_{k}.callCallees"), lambda c: F.concat(F.lit("c:"), c)), F.array().cast("array<string>")))
+        return df.withColumn("key", F.explode(F.array_distinct(keys)))
+
+    a, b = side(changed, "a"), side(functions, "b")
+    columns = [*a.columns, *b.columns]
+    pairs = keyed(a, "a").join(keyed(b, "b"), "key").filter("file_a <> file_b").select(*columns).distinct()
+    if has:
+
+        def quiet(df: DataFrame, k: str) -> DataFrame:
+            print_ = F.col(f"print_{k}")
+            parts = [F.coalesce(print_[n], F.lit(False)) if n.startswith(("is", "has")) else print_[n] for n in _SHAPE]
+            alone = df.filter(print_.isNotNull() & (F.coalesce(F.size(print_["callCallees"]), F.lit(0)) <= 0))
+            return alone.withColumn(f"shape_{k}", F.xxhash64(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts], F.lit(0)))
+
+        qa, qb = quiet(a, "a"), quiet(b, "b")
+        # Of a shape, `top` functions of each of `top` + 1 files: enough, whichever file the changed one is in.
+        rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("file_b", "name_b"))
+        few = qb.withColumn("__n", rank("shape_b", "file_b")).filter(F.col("__n") <= top).drop("__n")
+        few = few.withColumn("__f", F.dense_rank().over(Window.partitionBy("shape_b").orderBy("file_b"))).filter(F.col("__f") <= top + 1).drop("__f")
+        one = lambda df, k: df.groupBy(f"shape_{k}").agg(F.first(f"print_{k}").alias(f"print_{k}"))
+        alike = one(qa, "a").join(one(qb, "b"), structural(F.col("print_a"), F.col("print_b")) * 0.75 >= least - 1e-12).select("shape_a", "shape_b")
+        pairs = pairs.union(qa.join(alike, "shape_a").join(few, "shape_b").filter("file_a <> file_b").select(*columns)).distinct()
     score = similarity(F.col("name_a"), F.col("name_b"), *([F.col("print_a"), F.col("print_b")] if has else []))
-    pairs = a.join(b, F.col("file_a") != F.col("file_b")).withColumn("score", score).filter(F.col("score") >= least)
+    pairs = pairs.withColumn("score", score).filter(F.col("score") >= least)
     w = Window.partitionBy("file_a", "name_a").orderBy(F.desc("score"), "file_b", "name_b")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("file_a", "name_a", "file_b", "name_b", "score", "rank")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import conventionally_used, extension, matches
+from ..lineage import cut
 
 #: Confidences of dead exports.
 CONFIDENCE = {"high": 0.95, "medium": 0.9, "low": 0.5}
@@ -44,6 +47,46 @@ def dead_exports(files: DataFrame, exports: DataFrame, imports: DataFrame, rescu
     return out.select("node", "name", "importers", "confidence", value.alias("value"))
 
 
+#: G9d: (end of a path, names) of exports that a registry reads at run time; a caller adds its own.
+REGISTRIES: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+
+def rust_public_modules(files: DataFrame, exports: DataFrame, deepest: int = 16) -> DataFrame:
+    """G9d: (node) of the modules that a crate's lib.rs makes public, through all levels of public modules.
+
+    files(node, path), exports(node, name, kind); a public module is an export of kind module, and its file is
+    name.rs or name/mod.rs beside the crate's root, below the directories of the modules that hold it.
+    """
+    rs = files.filter("path LIKE '%.rs'").select("node", "path")
+    modules = exports.filter("kind = 'module'").select("node", "name").distinct()
+    root = rs.filter("path RLIKE '(^|/)lib[.]rs$'").select("node", F.regexp_replace("path", "lib[.]rs$", "").alias("base"))
+    level, out = root.select("node", "base"), None
+    for _ in range(deepest):
+        inside = level.join(modules, "node").select(F.concat("base", "name").alias("stem")).distinct()
+        named = inside.select("stem", F.explode(F.array(F.concat("stem", F.lit(".rs")), F.concat("stem", F.lit("/mod.rs")))).alias("path"))
+        level = cut(named.join(rs, "path").select("node", F.concat("stem", F.lit("/")).alias("base")))
+        out = level if out is None else out.union(level)
+        if level.isEmpty():
+            break
+    return out.select("node").distinct()
+
+
+def downgraded(dead: DataFrame, files: DataFrame, public: DataFrame, registries: Sequence[tuple[str, Sequence[str]]] = REGISTRIES) -> DataFrame:
+    """G9d: dead exports with false_positive (dynamic-registry-export, rust-public-api or null); where it is set, the
+    confidence is low. A file counts as a registry if all its dead exports are on the registry's list."""
+    p = dead.join(files.select("node", "path"), "node", "left")
+    known = F.lit(False)
+    for end, names in registries:
+        known |= F.col("path").endswith(end) & (F.size(F.array_except("all_names", F.array(*map(F.lit, names)))) == 0)
+    names = dead.groupBy("node").agg(F.collect_set("name").alias("all_names"))
+    p = p.join(names, "node").join(public.select("node", F.lit(True).alias("is_public")), "node", "left")
+    why = F.when(known, "dynamic-registry-export").when(F.col("is_public"), "rust-public-api")
+    p = p.withColumn("false_positive", why)
+    low = F.col("false_positive").isNotNull()
+    changed = {"confidence": F.when(low, "low").otherwise(F.col("confidence")), "value": F.when(low, CONFIDENCE["low"]).otherwise(F.col("value"))}
+    return p.select(*[changed.get(c, F.col(c)).alias(c) for c in dead.columns], "false_positive")
+
+
 def dead_reason(path: Column, importers: Column, sparse: Column) -> Column:
     """Why a dead export may be none."""
     warehouse = F.lower(path).rlike(r"(constants|status|utils)\.java$")
@@ -144,43 +187,145 @@ def ast_rules(functions: DataFrame, rules: Sequence[tuple] = tuple(AST_RULES)) -
     return out.select("path", "name", "line_start", "hit.rule", "hit.severity")
 
 
-#: (id, language, pattern, severity); the pattern is a Java regular expression without named groups.
-_SECRET = r"(?i)(?:password|secret|token|api_key|apikey|access_key|private_key)\s*[:=]\s*['\"][^'\"]{8,}['\"]"
-SECURITY_RULES: list[tuple[str, str, str, str]] = [
-    ("js-eval", "javascript", r"\beval\s*\(", "high"),
-    ("js-inner-html", "javascript", r"\.innerHTML\s*=", "medium"),
-    ("js-document-write", "javascript", r"\bdocument\.write\s*\(", "medium"),
-    ("js-new-function", "javascript", r"\bnew\s+Function\s*\(", "high"),
-    ("js-string-timer", "javascript", r"\bset(?:Timeout|Interval)\s*\(\s*['\"`]", "medium"),
-    ("js-hardcoded-secret", "javascript", _SECRET, "medium"),
-    ("py-exec", "python", r"\bexec\s*\(", "high"),
-    ("py-eval", "python", r"\beval\s*\(", "high"),
-    ("py-shell-true", "python", r"subprocess\.\w+\(.*shell\s*=\s*True", "high"),
-    ("py-os-system", "python", r"\bos\.system\s*\(", "medium"),
-    ("py-hardcoded-secret", "python", _SECRET, "medium"),
-    ("java-runtime-exec", "java", r"Runtime\.getRuntime\(\)\.exec\s*\(", "medium"),
-    ("java-process-builder", "java", r"new\s+ProcessBuilder\s*\(", "low"),
-    ("go-shell", "go", r"exec\.Command\s*\(\s*\"(?:sh|bash)\"", "high"),
-    ("rust-unsafe", "rust", r"\bunsafe\s*\{", "low"),
-]
-IGNORED = r"(//|/\*|#)\s*security-scan-ignore\b"
-
-
-def security_scan(texts: DataFrame, rules: Sequence[tuple[str, str, str, str]] = tuple(SECURITY_RULES), allow: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+#: Ids of the rules of the text scan with their family of languages and their severity.
+SECURITY_IDS = {
+    "js-eval": ("javascript", "high"),
+    "js-innerHTML": ("javascript", "medium"),
+    "js-document-write": ("javascript", "medium"),
+    "js-new-function": ("javascript", "high"),
+    "js-dangerous-timeout": ("javascript", "medium"),
+    "js-dangerous-interval": ("javascript", "medium"),
+    "js-hardcoded-secret": ("javascript", "medium"),
+    "js-log-sensitive": ("javascript", "low"),
+    "py-exec": ("python", "high"),
+    "py-eval": ("python", "high"),
+    "py-shell-true": ("python", "high"),
+    "py-os-system": ("python", "medium"),
+    "py-hardcoded-secret": ("python", "medium"),
+    "py-log-sensitive": ("python", "low"),
+    "java-runtime-exec": ("java", "medium"),
+    "java-process-builder": ("java", "low"),
+    "java-file-upload": ("java", "low"),
+    "java-hardcoded-secret": ("java", "medium"),
+    "java-log-sensitive": ("java", "low"),
+}
+#: Names that hold secrets, words of what shouldn't be logged, and the languages of a family.
+SECRET_NAMES = "password secret token api_key apikey access_key private_key"
+SECRET_NAMES_JAVA = "password secret token apiKey accessKey privateKey"
+SENSITIVE_WORDS = "password secret token credential"
+FAMILIES = {"javascript": ("javascript", "typescript", "vue", "svelte"), "python": ("python",), "java": ("java",)}
+
+
+def _any(words: str) -> str:
+    return "(?:" + "|".join(words.split()) + ")"
+
+
+def _call(callee: str, argument: str = "") -> str:
+    """A call of what the expression callee matches, as a word of its own."""
+    return rf"\b{callee}\s*\({argument}"
+
+
+def _secret(names: str, sign: str) -> str:
+    """One of the names, given a literal of eight characters or more."""
+    return rf"(?i){_any(names)}\s*{sign}\s*['\"][^'\"]{{8,}}['\"]"
+
+
+def _logged(printer: str) -> str:
+    """A call of a printer with a sensitive word among its arguments."""
+    return rf"(?i){printer}\s*\([^)]*{_any(SENSITIVE_WORDS)}"
+
+
+_QUOTE = r"\s*['\"`]"
+_PATTERNS = {
+    "js-eval": _call("eval"),
+    "js-innerHTML": r"\.innerHTML\s*=",
+    "js-document-write": _call(r"document\.write"),
+    "js-new-function": _call(r"new\s+Function"),
+    "js-dangerous-timeout": _call("setTimeout", _QUOTE),
+    "js-dangerous-interval": _call("setInterval", _QUOTE),
+    "js-hardcoded-secret": _secret(SECRET_NAMES, "[:=]"),
+    "js-log-sensitive": _logged(r"console\." + _any("log warn error info")),
+    "py-exec": _call("exec"),
+    "py-eval": _call("eval"),
+    "py-shell-true": r"subprocess\.\w+\(.*shell\s*=\s*True",
+    "py-os-system": _call(r"os\.system"),
+    "py-hardcoded-secret": _secret(SECRET_NAMES, "="),
+    "py-log-sensitive": _logged(r"(?:print|logger\." + _any("debug info warning error") + ")"),
+    "java-runtime-exec": r"Runtime\.getRuntime\(\)\.exec\s*\(",
+    "java-process-builder": r"new\s+ProcessBuilder\s*\(",
+    "java-file-upload": r"MultipartFile|\.getOriginalFilename\s*\(\)|\.transferTo\s*\(",
+    "java-hardcoded-secret": _secret(SECRET_NAMES_JAVA, "[=:]"),
+    "java-log-sensitive": _logged(r"(?:System\.out\.print|log\." + _any("debug info warn error") + ")"),
+}
+
+
+@dataclass(frozen=True)
+class TextRule:
+    """A pattern (a Java regular expression) for lines of files of some languages, or whose path matches."""
+
+    id: str
+    langs: tuple[str, ...]
+    pattern: str
+    severity: str
+    path: str | None = None
+
+
+@dataclass(frozen=True)
+class Allowed:
+    """P20: what isn't reported: hits of rules whose id holds one of the parts, on lines (and paths) that match, in any case."""
+
+    parts: tuple[str, ...]
+    line: str
+    path: str | None = None
+
+
+SECURITY_RULES = tuple(TextRule(name, FAMILIES[family], _PATTERNS[name], severity) for name, (family, severity) in SECURITY_IDS.items())
+#: Assertions that something fails, and placeholders in tests.
+SECURITY_ALLOWED = (
+    Allowed(("eval", "exec", "innerHTML", "new-function", "dangerous"), r"\bexpect\b.*\b(?:to\.?throw|rejects)\b|\bassert\.(?:throws?|rejects?)\b|\.unwrap_err\s*\("),
+    Allowed(("hardcoded-secret",), r"(?:\b|_)(?:test|dummy|placeholder|example|mock|fake)(?:\b|_)", r"[\\/](?:test|spec|__tests__)[\\/]"),
+)
+IGNORED = r"(//|/\*)\s*security-scan-ignore\b"
+
+
+def security_rules(config: Mapping) -> tuple[tuple[TextRule, ...], tuple[Allowed, ...]]:
+    """E5: rules and allowed hits of a configuration {rules: [{lang, ext, rules: [{id, pattern, flags, severity}]}],
+    allowlist: [{ruleIdContains, filePathPattern, pattern}]}; a pattern that doesn't compile is refused."""
+    rules = []
+    for group in config.get("rules", ()):
+        for r in group.get("rules", ()):
+            flags = "".join(f for f in r.get("flags", "") if f in "ims")
+            rules.append(TextRule(r["id"], (), (f"(?{flags})" if flags else "") + r["pattern"], r["severity"], group["ext"]))
+    allowed = tuple(Allowed(tuple(a.get("ruleIdContains", ())), a["pattern"], a.get("filePathPattern")) for a in config.get("allowlist", ()))
+    for pattern in [x.pattern for x in rules] + [x.line for x in allowed] + [x.path for x in (*rules, *allowed) if x.path]:
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"a pattern that doesn't compile: {pattern!r}: {e}") from e
+    return tuple(rules), allowed
+
+
+def security_scan(texts: DataFrame, rules: Sequence[TextRule] = SECURITY_RULES, allow: Sequence[Allowed] = SECURITY_ALLOWED, language: str | None = None) -> DataFrame:
     """(path, line, rule, severity, match): rules of a file's language, line by line.
 
-    texts(path, lang, text, is_test); test files and lines that ask to be ignored are skipped. allow holds (part of a
-    rule id, path pattern, line pattern) of what isn't reported. Only lines that any rule could hit are exploded.
+    texts(path, lang, text, is_test); test files and lines that ask to be ignored are skipped, as is what is allowed.
+    With `language` only rules of that family apply.
     """
     lines = texts.filter("NOT is_test AND text IS NOT NULL").select("path", "lang", F.posexplode(F.split("text", "\r?\n")).alias("at", "source"))
     own: list[Column] = []
-    for rule, lang, pattern, severity in rules:
+    for r in rules:
+        if language and language.lower() not in r.langs:
+            continue
         free = F.lit(True)
-        for part, where, what in allow:
-            if part in rule:
-                free &= ~(F.col("path").rlike("(?i)" + where) & F.col("source").rlike("(?i)" + what))
-        hit = F.col("source").rlike(pattern) & free
-        own.append(F.when((F.col("lang") == lang) & hit, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.regexp_extract("source", pattern, 0).alias("match"))))
+        for a in allow:
+            if not a.parts or any(p in r.id for p in a.parts):
+                here = F.col("path").rlike("(?i)" + a.path) if a.path else F.lit(True)
+                free &= ~(here & F.col("source").rlike("(?i)" + a.line))
+        fits = F.col("path").rlike(r.path) if r.path else F.col("lang").isin(*r.langs)
+        hit = F.col("source").rlike(r.pattern) & free
+        own.append(F.when(fits & hit, F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.regexp_extract("source", r.pattern, 0).alias("match"))))
+    if not own:
+        return lines.limit(0).select("path", "at", F.lit("").alias("rule"), F.lit("").alias("severity"), F.lit("").alias("match")).withColumnRenamed("at", "line")
     hits = F.filter(F.array(*own), lambda x: x.isNotNull())
     out = lines.filter(~F.col("source").rlike(IGNORED)).select("path", (F.col("at") + 1).alias("line"), F.explode(hits).alias("x"))
     return out.select("path", "line", "x.rule", "x.severity", F.substring("x.match", 1, 120).alias("match"))

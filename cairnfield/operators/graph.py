@@ -89,18 +89,28 @@ def affected_tests(files: DataFrame, edges: DataFrame, start: DataFrame, depth:
 
 
 def entry_paths(files: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 4, most: int = 50) -> DataFrame:
-    """Simple reverse paths from each root to non-test entries, at most `most` a root, shortest first, then by path."""
+    """Simple reverse paths from each root to non-test entries, at most `most` a root, shortest first, then by path.
+
+    Paths grow only towards nodes from which an entry may be in reach, and a root that has `most` paths is done, as what
+    it would still give is longer: neither changes the result.
+    """
     e = reverse(edges)
-    paths = start.select("root", "node", F.array("node").alias("path"))
-    found = None
     good = files.filter("is_entry AND NOT is_test").select("node")
+    # Entries, and nodes that are one step from one: only those can be next to last and last.
+    near = good.withColumn("left", F.lit(0)).union(edges.join(good, F.col("source") == F.col("node")).select("target", F.lit(1))).groupBy("node").agg(F.min("left").alias("left"))
+    e = cut(e.join(near.withColumnRenamed("node", "target"), "target", "left"))
+    paths = start.select("root", "node", F.array("node").alias("path"))
+    found, done = None, None
     for level in range(1, depth + 1):
-        step = paths.join(e, F.col("node") == F.col("source")).filter(~F.array_contains("path", F.col("target")))
-        paths = step.select("root", F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
+        step = paths.join(e.filter(F.coalesce("left", F.lit(2)) <= depth - level), F.col("node") == F.col("source")).filter(~F.array_contains("path", F.col("target")))
+        step = step.select("root", F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
+        step = step if done is None else step.join(done, "root", "left_anti")
+        paths = cut(step) if level == 3 and depth > 3 else step
         hit = paths.join(good, "node").select("root", F.col("node").alias("entry"), "path", F.lit(level).alias("depth"))
         found = hit if found is None else found.union(hit)
-    w = Window.partitionBy("root").orderBy("depth", "path")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+        if level >= 3 and level < depth:
+            done = found.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("root")
+    return first_of(found, "root", [F.col("depth"), F.col("path")], most, 1 if depth < 3 else 32)
 
 
 def affected_routes(files: DataFrame, edges: DataFrame, routes: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
@@ -294,28 +304,56 @@ def _coloured(edges: DataFrame) -> DataFrame:
     return done.join(groups, "c").select("node", "scc")
 
 
-def cycles(edges: DataFrame, longest: int = 8, per_scc: int = 25, most: int = 1000) -> DataFrame:
+def first_of(df: DataFrame, key: str, order: list[Column], most: int, salts: int = 32) -> DataFrame:
+    """The `most` first rows of each key, with `rank`. A key's rows are first cut in `salts` groups, so that no task sorts
+    all rows of a frequent key."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    if salts == 1:
+        return df.withColumn("rank", rank).filter(F.col("rank") <= most)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    near = salted.withColumn("rank", F.row_number().over(Window.partitionBy(key, "__salt").orderBy(*order))).filter(F.col("rank") <= most)
+    return near.withColumn("rank", rank).filter(F.col("rank") <= most).drop("__salt")
+
+
+def cycles(edges: DataFrame, longest: int = 8, per_scc: int = 25, most: int = 1000, beam: int = 20_000) -> DataFrame:
     """(scc, path, truncated): simple cycles of up to `longest` nodes, each written from its smallest node.
 
     Paths grow over the edges inside components, and only through nodes larger than their first. Per component the
-    `per_scc` first by length and path are kept, `most` in all; truncated tells whether a cap was hit.
+    `per_scc` first by length and path are kept, `most` in all. A component that has more than `per_scc` cycles is done:
+    what it would still give is longer. Others keep `beam` paths a round at most. truncated tells that a component may
+    hold cycles that aren't returned: beyond `per_scc`, beyond the beam, beyond `most`, or longer than `longest` as it
+    has more nodes. A component that is cut and has no cycle to show is a row with an empty path.
     """
-    groups = scc(edges)
+    groups = cut(scc(edges))
     inside = edges.join(groups.select(F.col("node").alias("source"), "scc"), "source").join(groups.select(F.col("node").alias("target"), F.col("scc").alias("other")), "target").filter("scc = other").select("scc", "source", "target").distinct()
     inside = cut(inside)
+    salts = 1 if inside.count() <= SMALL_GRAPH else 32
     paths = inside.filter("target > source").select("scc", F.array("source", "target").alias("path"))
-    found = None
+    found, dropped = None, groups.select("scc").limit(0)
+    over = dropped
     for n in range(2, longest + 1):
-        last = F.element_at("path", -1)
-        step = paths.withColumn("last", last).join(inside.drop("scc"), F.col("last") == F.col("source")).select("scc", "path", "target")
-        closed = step.filter(F.col("target") == F.col("path")[0]).select("scc", "path")
-        found = closed if found is None else found.union(closed)
+        step = paths.withColumn("last", F.element_at("path", -1)).join(inside.drop("scc"), F.col("last") == F.col("source")).select("scc", "path", "target")
+        closed = first_of(step.filter(F.col("target") == F.col("path")[0]).select("scc", "path"), "scc", [F.col("path")], per_scc + 1, salts).select("*", F.lit(True).alias("closed"))
         if n < longest:
-            paths = cut(step.filter((F.col("target") > F.col("path")[0]) & ~F.array_contains("path", F.col("target"))).select("scc", F.concat("path", F.array("target")).alias("path")))
-    w = Window.partitionBy("scc").orderBy(F.size("path"), "path")
-    ranked = found.withColumn("rank", F.row_number().over(w)).withColumn("of", F.count("*").over(Window.partitionBy("scc")))
-    kept = ranked.filter(F.col("rank") <= per_scc).orderBy("rank", "scc").limit(most)
-    return kept.select("scc", "path", (F.col("of") > per_scc).alias("truncated"))
+            grown = step.filter((F.col("target") > F.col("path")[0]) & ~F.array_contains("path", F.col("target"))).join(over, "scc", "left_anti")
+            grown = first_of(grown.select("scc", F.concat("path", F.array("target")).alias("path")), "scc", [F.col("path")], beam + 1, salts)
+            closed = closed.union(grown.select("*", F.lit(False).alias("closed")))
+        state = cut(closed)
+        new = state.filter("closed").select("scc", "path")
+        found = new if found is None else found.union(new)
+        over = found.groupBy("scc").agg(F.count("*").alias("n")).filter(F.col("n") > per_scc).select("scc")
+        dropped = dropped.union(state.filter(~F.col("closed") & (F.col("rank") > beam)).select("scc"))
+        paths = state.filter(~F.col("closed") & (F.col("rank") <= beam)).select("scc", "path")
+        if paths.isEmpty():
+            break
+    large = groups.groupBy("scc").agg(F.count("*").alias("n")).filter(F.col("n") > longest).select("scc")
+    partial = (over.union(dropped).union(large).distinct().withColumn("partial", F.lit(True)))
+    kept = first_of(found, "scc", [F.size("path"), F.col("path")], per_scc, salts)
+    none = partial.join(found.select("scc").distinct(), "scc", "left_anti").select("scc", F.array().cast(found.schema["path"].dataType).alias("path"), F.lit(0).alias("rank"))
+    kept = cut(kept.select("scc", "path", "rank").union(none))
+    many = kept.count() > most
+    kept = kept.orderBy("rank", "scc").limit(most).join(partial, "scc", "left")
+    return kept.select("scc", "path", (F.coalesce("partial", F.lit(False)) | F.lit(many)).alias("truncated"))
 
 
 def cycle_break(cycles_: DataFrame, degrees_: DataFrame, edges: DataFrame) -> DataFrame:

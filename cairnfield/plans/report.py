@@ -137,3 +137,12 @@ def domain_confidence(files: DataFrame, edges: DataFrame) -> DataFrame:
     out = n.join(m, "lang", "left").fillna(0, ["edges"])
     low = (F.col("edges") / F.col("files") < 0.1) | F.col("lang").isin("java", "kotlin")
     return out.withColumn("confidence", F.when(low, "low").otherwise("high"))
+
+
+def filtered(df: DataFrame, column: str, value: str | None, values: Sequence[str], limit: int = 0, max_files: int = 0) -> dict:
+    """Q4, Q6: {count, total, items}: rows whose column has the value (any, if it is none of `values`), in df's order, cut
+    at the smaller of the limits that are above 0; total counts df's rows."""
+    own = df.filter(F.col(column) == value) if value in values else df
+    caps = [n for n in (limit, max_files) if n > 0]
+    items = [r.asDict(recursive=True) for r in (own.limit(min(caps)) if caps else own).collect()]
+    return {"count": len(items), "total": df.count(), "items": items}

@@ -512,7 +512,7 @@ def g7_scc(spark, d):
     return graph.scc(_cycle_edges(spark, d))
 
 
-@query(with_ctes("edges", f", {_SCC}, inner_ AS (SELECT source, target FROM strict JOIN member x ON x.node = source JOIN member y ON y.node = target WHERE x.scc = y.scc), p(start, node, path) AS (SELECT source, target, [source, target] FROM inner_ WHERE target > source UNION ALL SELECT start, s.target, list_append(path, s.target) FROM p JOIN inner_ s ON s.source = p.node WHERE len(path) < 8 AND s.target > start AND NOT list_contains(path, s.target)), c AS (SELECT path FROM p JOIN inner_ s ON s.source = p.node AND s.target = p.start), r AS (SELECT scc, path, row_number() OVER (PARTITION BY scc ORDER BY len(path), path) AS r, count(*) OVER (PARTITION BY scc) > 25 AS truncated FROM c JOIN member ON member.node = path[1]) SELECT scc, path, truncated FROM r WHERE r <= 25", True))
+@query(with_ctes("edges", f", {_SCC}, inner_ AS (SELECT source, target FROM strict JOIN member x ON x.node = source JOIN member y ON y.node = target WHERE x.scc = y.scc), p(start, node, path) AS (SELECT source, target, [source, target] FROM inner_ WHERE target > source UNION ALL SELECT start, s.target, list_append(path, s.target) FROM p JOIN inner_ s ON s.source = p.node WHERE len(path) < 8 AND s.target > start AND NOT list_contains(path, s.target)), c AS (SELECT path FROM p JOIN inner_ s ON s.source = p.node AND s.target = p.start), r AS (SELECT scc, path, row_number() OVER (PARTITION BY scc ORDER BY len(path), path) AS r, count(*) OVER (PARTITION BY scc) > 25 OR (SELECT count(*) FROM member m WHERE m.scc = member.scc) > 8 AS truncated FROM c JOIN member ON member.node = path[1]) SELECT scc, path, truncated FROM r WHERE r <= 25", True))
 def g8_cycles(spark, d):
     return graph.cycles(_cycle_edges(spark, d))
 
@@ -711,7 +711,7 @@ SELECT CAST(doc_id AS VARCHAR) AS path, line, 'secret' AS rule, 'high' AS severi
 UNION ALL SELECT CAST(doc_id AS VARCHAR), line, 'licence', 'low' FROM l WHERE regexp_matches(s, 'licensed? under', 'i')""")
 def r11_text_scan(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("lang"), "text", F.lit(False).alias("is_test"))
-    out = findings.security_scan(t, [("secret", "text", "(?i)" + _SECRET_SQL, "high"), ("licence", "text", "(?i)licensed? under", "low")])
+    out = findings.security_scan(t, [findings.TextRule("secret", ("text",), "(?i)" + _SECRET_SQL, "high"), findings.TextRule("licence", ("text",), "(?i)licensed? under", "low")])
     return out.select("path", F.col("line").cast("long").alias("line"), "rule", "severity")
 
 

@@ -95,26 +95,86 @@ def classified(files: DataFrame, directories: Mapping[str, str] | None = None, e
     return files.select("*", role.alias("file_role"), where.alias("directory_role"), test.alias("is_test"), (where == "active").alias("is_mainline"), ((role == "entry") | shebang | standalone | listed | framework_hint(F.col("path"), F.col("text")).isNotNull()).alias("is_entry"), paths.dirname(F.col("path")).alias("package"), paths.extension(F.col("path")).alias("ext"))
 
 
-#: (framework, path pattern or None, text pattern or None); the first that fits counts.
-FRAMEWORKS: list[tuple[str, str | None, str | None]] = [
-    ("next-app", r"(^|/)app/(.*/)?(page|layout|route|loading|error)\.(js|jsx|ts|tsx)$", None),
-    ("next-pages", r"(^|/)pages/.*\.(jsx?|tsx?)$", None),
-    ("django", r"(^|/)(urls|wsgi|asgi|manage)\.py$", None),
-    ("spring", r"\.(java|kt)$", r"@(SpringBootApplication|RestController|Controller|Configuration)\b"),
-    ("express", r"\.(js|ts|mjs|cjs)$", r"\bexpress\(\)|\brequire\(['\"]express['\"]\)"),
-    ("fastapi", r"\.py$", r"\bFastAPI\("),
-    ("flask", r"\.py$", r"\bFlask\(__name__"),
-    ("gin", r"\.go$", r"\bgin\.(Default|New)\("),
-    ("actix", r"\.rs$", r"\bHttpServer::new\("),
+#: (framework, path pattern); the first that fits counts.
+FRAMEWORK_PATHS: list[tuple[str, str]] = [
+    ("next-app", r"(^|/)app/(.*/)?(page|layout|route|loading|error)\.(js|jsx|ts|tsx)$"),
+    ("next-pages", r"(^|/)pages/.*\.(jsx?|tsx?)$"),
+    ("django", r"(^|/)(urls|wsgi|asgi|manage)\.py$"),
 ]
+#: (family of files, framework, marks), any of which, in any case, tells it; the first that fits counts. Fixed
+#: values: frameworks and marks, of which more specific ones come first.
+FRAMEWORKS: list[tuple[str, str, tuple[str, ...]]] = [
+    ("js", "nestjs", ("@Controller", "@Get(", "@Post(", "@Put(", "@Delete(")),
+    ("js", "express", ("app.get(", "app.post(", "router.get(", "router.post(")),
+    ("js", "vue", ("from 'vue'", 'from "vue"', "createapp(", "definecomponent(", "vue-router", "pinia")),
+    ("js", "vue", ("defineProps(", "defineEmits(", "defineExpose(", "defineOptions(", "defineSlots(", "defineModel(")),
+    ("py", "django", ("BaseCommand", "class Command(", "admin.site.register", "MiddlewareMixin", "class Middleware", "def process_request", "def process_response")),
+    ("py", "django", ("class DatabaseRouter", "allow_migrate", "db_for_read", "db_for_write", "def context_processors", "def processor(")),
+    ("py", "django", ("@register.filter", "@register.simple_tag", "@register.inclusion_tag", "class Form(", "class ModelForm(", "from django import forms", "@receiver", ".connect(")),
+    ("py", "django", ("@api_view", "class APIView", "class ModelViewSet", "class ViewSet", "class GenericAPIView", "@action", "@permission_classes", "from rest_framework")),
+    ("py", "celery", ("@shared_task", "@app.task")),
+    ("py", "fastapi", ("@app.get", "@app.post", "@router.get", "FastAPI(")),
+    ("py", "flask", ("@app.route", "@blueprint.route", "Flask(__name__")),
+    ("java", "spring-boot", ("@SpringBootApplication", "@Configuration", "@ControllerAdvice", "@Component", "@Service", "@Repository", "@EnableAutoConfiguration", "@Aspect")),
+    ("java", "spring", ("@RestController", "@Controller", "@RequestMapping", "@GetMapping", "@PostMapping", "@PutMapping", "@DeleteMapping", "@PatchMapping", "@FeignClient", "@Scheduled", "@Async", "@EventListener", "@KafkaListener", "@RabbitListener", "@JmsListener", "@Retryable")),
+    ("java", "spring", ("@Bean", "FilterRegistrationBean", "implements Filter", "extends HttpServletRequestWrapper", "implements Validator", "implements HandlerInterceptor", "implements ApplicationListener")),
+    ("java", "quartz", ("org.quartz.Job", "@DisallowConcurrentExecution", "extends AbstractQuartzJob", "QuartzJobExecution", "JobInvokeUtil")),
+    ("java", "mybatis", ("implements TypeHandler", "extends BaseTypeHandler", "TypeHandler<")),
+    ("kt", "spring-kotlin", ("@RestController", "@Controller", "@RequestMapping", "@GetMapping", "@PostMapping", "@PutMapping", "@DeleteMapping", "@PatchMapping", "@FeignClient", "@Scheduled", "@Async", "@EventListener", "@KafkaListener", "@RabbitListener", "@JmsListener", "@Retryable")),
+    ("kt", "ktor", ("routing {", "embeddedServer", "Application.module")),
+    ("go", "gin", ("gin.Context", "gin.Default()", "gin.New()")),
+    ("go", "echo", ("echo.Context", "echo.New()")),
+    ("go", "fiber", ("fiber.Ctx", "fiber.New()")),
+    ("rs", "actix-web", ("#[get(", "#[post(", "#[actix_web", "HttpServer::new")),
+    ("rs", "axum", ("Router::new", "axum::extract")),
+    ("rs", "rocket", ("#[launch]",)),
+]
+#: Extensions of a family.
+FAMILIES = {"js": ("js", "jsx", "ts", "tsx", "mjs", "cjs", "vue", "svelte"), "py": ("py",), "java": ("java",), "kt": ("kt", "kts"), "go": ("go",), "rs": ("rs",)}
+
+
+def register_framework(family: str, name: str, marks: Sequence[str], first: bool = False) -> None:
+    """One more framework; a family that isn't known yet is an extension of its own."""
+    if not marks:
+        raise ValueError("a framework needs marks")
+    FAMILIES.setdefault(family, (family,))
+    entry = (family, name, tuple(marks))
+    if entry not in FRAMEWORKS:
+        FRAMEWORKS.insert(0 if first else len(FRAMEWORKS), entry)
 
 
 def framework_hint(path: Column, text: Column) -> Column:
-    """The framework a file belongs to, by its path and its first 4096 characters; null for none."""
-    head, out = F.substring(F.coalesce(text, F.lit("")), 1, 4096), F
-    for name, where, what in FRAMEWORKS:
-        test = (path.rlike(where) if where else F.lit(True)) & (head.rlike(what) if what else F.lit(True))
-        out = out.when(test, name)
+    """The framework a file belongs to, by its path or else by its whole text; null for none."""
+    low, ext, out = F.lower(F.coalesce(text, F.lit(""))), paths.extension(path), F
+    for name, where in FRAMEWORK_PATHS:
+        out = out.when(path.rlike(where), name)
+    for family, name, marks in FRAMEWORKS:
+        test = F.lit(False)
+        for m in marks:
+            test |= F.contains(low, F.lit(m.lower()))
+        out = out.when(ext.isin(*FAMILIES[family]) & test, name)
+    return out.otherwise(F.lit(None))
+
+
+#: Templates that projects are started from. Names of files that only they have, in lower case.
+SCAFFOLD_NAMES = {
+    "scaffold-ruoyi": (
+        "abstractquartzjob.java quartzdisallowconcurrentexecution.java jobinvokeutil.java xsshttpservletrequestwrapper.java repeatsubmitinterceptor.java "
+        "datalscopeaspect.java sensitivejsonserializer.java servletutils.java loginuser.java sysuser.java sysrole.java sysmenu.java sysdept.java syspost.java "
+        "sysdictdata.java sysdicttype.java sysconfig.java sysnotice.java sysoperlog.java syslogininfor.java"
+    ).split(),
+    "scaffold-vue-admin": "ruoyi.js permission.js validate.js".split(),
+}
+
+
+def scaffold(path: Column) -> Column:
+    """The template that a file comes from, by its name, or by its place and kind; null for none."""
+    base, out = F.lower(paths.basename(path)), F
+    for name, own in SCAFFOLD_NAMES.items():
+        out = out.when(base.isin(*own), name)
+    low = F.lower(path)
+    out = out.when(low.contains("ruoyi") & base.rlike(r"(constants|utils|status)\.java$"), "scaffold-ruoyi")
+    out = out.when((low.contains("/ruoyi/") & base.rlike(r"\.(js|ts|vue)$")) | (low.contains("/generator/") & base.rlike(r"\.(js|ts)$")), "scaffold-vue-admin")
     return out.otherwise(F.lit(None))
 
 

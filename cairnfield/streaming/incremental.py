@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.paths import dirname
 from ..operators.graph import impact_radius
 from ..sources.scan import excluded
 from ..sources.store import Store
@@ -43,18 +44,23 @@ class Maintainer:
 
     derive(paths) gives the records of files as they are now, for a DataFrame of paths; resolve(records, files) gives
     the edges that go out from records. A batch deletes first, then derives what changed, then resolves anew the
-    changed files, those that import a changed or deleted one, and those that import a file shadowed by a new one.
+    changed files, those that import a changed or deleted one, those that import a file shadowed by a new one, and (X5)
+    where imports of a package mean all its files, those that import a package with a new or deleted file.
+
+    The two tables are written one after the other. A batch that ends in between is run again by the stream, from the
+    records as they are then: deletions and derivations repeat with the same result, and edges follow. Tables that are
+    there but can't be read are an error, never an empty state: a batch alone wouldn't rebuild them.
     """
 
-    def __init__(self, store: Store, derive: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame, DataFrame], DataFrame], shadows: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> None:
-        self.store, self.derive, self.resolve, self.shadows = store, derive, resolve, shadows
+    def __init__(self, store: Store, derive: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame, DataFrame], DataFrame], shadows: Callable[[DataFrame, DataFrame], DataFrame] | None = None, expand_packages: bool = False) -> None:
+        self.store, self.derive, self.resolve, self.shadows, self.expand_packages = store, derive, resolve, shadows, expand_packages
         self.batches, self.rebuilds = 0, 0
 
     def rebuild(self, paths: DataFrame) -> None:
         records = self.derive(paths)
-        self.store.replace("records", records)
+        self.store.replace("records", records, keys=["path"])
         records = self.store.read("records")
-        self.store.replace("edges", self.resolve(records, records.select("path")))
+        self.store.replace("edges", self.resolve(records, records.select("path")), keys=["source"])
         self.rebuilds += 1
 
     def apply(self, batch: DataFrame) -> None:
@@ -81,14 +87,24 @@ class Maintainer:
         if self.shadows is not None:
             lost = self.shadows(new, records.select("path")).select(F.col("shadows").alias("target"))
             near = near.union(edges.join(lost, "target", "left_semi").select(F.col("source").alias("path")))
+        if self.expand_packages:
+            near = near.union(self._package_importers(records, edges, state, new))
         waiting = self._unresolved(records, edges, new)
-        again = touched.union(near).union(waiting).distinct()
+        again = touched.union(near).union(waiting).distinct().persist()
         derived = self.derive(upserts)
         self.store.upsert("records", derived, ["path"], deleted=touched)
         records = self.store.read("records")
         redo = records.join(again, "path", "left_semi")
         fresh = self.resolve(redo, records.select("path"))
         self.store.upsert("edges", fresh, ["source"], deleted=again.withColumnRenamed("path", "source"))
+        again.unpersist()
+
+    @staticmethod
+    def _package_importers(records: DataFrame, edges: DataFrame, state: DataFrame, new: DataFrame) -> DataFrame:
+        """Files that import a file of a package (a directory) in which a file came or went."""
+        moved = new.select("path").union(state.filter("op = 'delete'").select("path")).select(dirname(F.col("path")).alias("package")).distinct()
+        members = records.select(F.col("path").alias("target"), dirname(F.col("path")).alias("package")).join(moved, "package", "left_semi")
+        return edges.join(members.select("target"), "target", "left_semi").select(F.col("source").alias("path"))
 
     @staticmethod
     def _unresolved(records: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -117,9 +133,11 @@ def cycles_stale(batch_edges: DataFrame, old_edges: DataFrame) -> bool:
     return not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty()
 
 
-def append_trend(snapshot: DataFrame, folder: str) -> None:
-    """Adds a row (ts, ...) to the history."""
-    snapshot.write.mode("append").parquet(folder)
+def append_trend(snapshot: DataFrame, store: Store, name: str = "trend", compact_every: int = COMPACT_EVERY) -> None:
+    """Adds a row (ts, ...) to the history; every so many appends its small files become one."""
+    store.append(name, snapshot)
+    if len((store._pointer(name) or {"data": ()})["data"]) >= compact_every:
+        store.compact(name)
 
 
 def trend(history: DataFrame, by: str = "day") -> DataFrame:
@@ -129,14 +147,3 @@ def trend(history: DataFrame, by: str = "day") -> DataFrame:
     rest = [c for c in history.columns if c != "ts"]
     out = history.withColumn("bucket", bucket).groupBy("bucket").agg(F.max_by(F.struct("ts", *rest), "ts").alias("x"))
     return out.select("bucket", "x.*")
-
-
-def compact(spark: SparkSession, folder: str, files: int = 1) -> None:
-    """Small appended files into a few."""
-    import uuid
-
-    tmp = f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
-    spark.read.parquet(folder).repartition(files).write.parquet(tmp)
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(folder)
-    at = spark._jvm.org.apache.hadoop.fs.Path(tmp)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

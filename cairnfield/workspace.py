@@ -121,8 +121,10 @@ class Workspace:
         rules = self.config["boundaries"]
         return findings.check_boundaries(self.files, self.edges, rules) if rules else findings.suggested_boundaries(self.files, self.edges)
 
-    def security(self) -> DataFrame:
-        return findings.security_scan(self.files.select("path", "lang", "text", "is_test"))
+    def security(self, config: Mapping | None = None, language: str | None = None) -> DataFrame:
+        """With the built-in rules, or with those of a configuration."""
+        rules, allow = findings.security_rules(config) if config else (findings.SECURITY_RULES, findings.SECURITY_ALLOWED)
+        return findings.security_scan(self.files.select("path", "lang", "text", "is_test"), rules, allow, language)
 
     def ast_rules(self) -> DataFrame:
         return findings.ast_rules(self.functions)
@@ -179,6 +181,14 @@ class Workspace:
         out = j.select("path", "total", score.alias("score"), F.coalesce(history.score_level(risk), F.lit("low")).alias("risk"))
         return out.filter("score > 30 OR total > 10").orderBy(F.desc("score"), "path")
 
+    def query_hotspots(self, risk: str | None = None, limit: int = 0, max_files: int = 0) -> dict:
+        """Q4: hotspots of one risk, at most the smaller of the two limits that are given."""
+        return report.filtered(self.hotspots(), "risk", risk, ("high", "medium", "low"), limit, max_files)
+
+    def query_stability(self, assessment: str | None = None, limit: int = 0, max_files: int = 0) -> dict:
+        """Q6: files of one assessment, likewise."""
+        return report.filtered(self.stability().orderBy("score", "path"), "assessment", assessment, ("fragile", "moderate", "stable"), limit, max_files)
+
     def stability(self) -> DataFrame:
         tested = self.edges.join(self.files.filter("is_test").select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct().withColumn("tested", F.lit(True))
         looped = graph.scc(graph.cycle_edges(self.edges)).select("node").withColumn("looped", F.lit(True))

@@ -156,13 +156,21 @@ def test_resolve_above_root_and_declared(spark):
 
 
 def test_sql_gate(spark):
-    for bad in ("", "DROP TABLE t", "select\nx", "WITH a AS (SELECT 1) SELECT 1", "SELECT 1 UNION SELECT 2", "SELECT 'delete'", "SELECT 1; SELECT 2", "SELECT a INTERSECT SELECT b", "select 1 except select 2"):
-        assert gate(bad)[1]
+    bad = ["", "DROP TABLE t", "selectx", "WITH a AS (SELECT 1) SELECT 1", "SELECT 1 UNION SELECT 2", "SELECT 1; SELECT 2", "SELECT a INTERSECT SELECT b", "select 1 except select 2", "SELECT 1 /* x */ Union select 2"]
+    bad += ["SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT `reflect`('a', 'b')", "SELECT java_method ('a', 'b')", "SELECT input_file_name() FROM t", "SELECT id FROM range(3)", "SELECT 1 /**/ ; DROP TABLE t"]
+    for statement in bad:
+        assert gate(statement)[1], statement
+    for good in ("select\nid FROM t", "SELECT 'please update; delete' AS x", 'SELECT "drop" -- union', "SELECT id FROM t WHERE id IN (1, 2) AND (id > 1)"):
+        assert gate(good)[1] is None, good
     s = Surface(spark, {"t": spark.range(1500)})
     assert len(s.query("SELECT id FROM t;").rows) == 1000 and s.query("SELECT id FROM t").truncated
     assert s.query("SELECT a.id FROM t a JOIN t ON a.id = t.id WHERE a.id < 2").ok
     assert s.query("EXPLAIN SELECT id FROM t").ok and s.query("PRAGMA table_info(t)").rows[0]["col_name"] == "id"
     assert not s.query("SELECT nope FROM t").ok
+    spark.range(1).createOrReplaceTempView("foreign_view")
+    for odd in ("SELECT value FROM text.`/etc/hostname`", "SELECT * FROM foreign_view", "SELECT id FROM t WHERE id IN (SELECT id FROM foreign_view)", "SELECT (SELECT max(id) FROM foreign_view) FROM t", "SELECT a.id FROM t a JOIN parquet.`/tmp` b ON true", "EXPLAIN SELECT * FROM foreign_view", "PRAGMA table_info(foreign_view)"):
+        assert not s.query(odd).ok, odd
+    assert s.query("SELECT upper('please update') AS x, count(*) AS n FROM (SELECT id FROM t WHERE id < 3) q").rows == [{"x": "PLEASE UPDATE", "n": 3}]
 
 
 def test_git_texts(spark):
@@ -277,9 +285,131 @@ def test_debounce_and_trend(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
     ev = spark.createDataFrame([("a", t), ("a", t + datetime.timedelta(milliseconds=300)), ("a", t + datetime.timedelta(seconds=2))], "path string, ts timestamp")
     assert sorted(r.events for r in incremental.debounced(ev).collect()) == [1, 2]
-    for k in range(3):
-        incremental.append_trend(spark.createDataFrame([(t + datetime.timedelta(hours=20 * k), k)], "ts timestamp, n int"), f"{tmp_path}/trend")
-    h = spark.read.parquet(f"{tmp_path}/trend")
-    assert {(r.bucket, r.n) for r in incremental.trend(h).collect()} == {("2024-01-01", 1), ("2024-01-02", 2)}
-    incremental.compact(spark, f"{tmp_path}/trend")
-    assert spark.read.parquet(f"{tmp_path}/trend").count() == 3
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    for k in range(4):
+        incremental.append_trend(spark.createDataFrame([(t + datetime.timedelta(hours=20 * k), k)], "ts timestamp, n int"), s, compact_every=3)
+    assert s.read("trend").count() == 4 and len(s._pointer("trend")["data"]) == 2
+    assert {(r.bucket, r.n) for r in incremental.trend(s.read("trend")).collect()} == {("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-03", 3)}
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["data", "pointer", "rename", "tidy"])
+def test_a_write_that_ends_between_two_steps(spark, tmp_path, monkeypatch, step):
+    """The table is the old state or the new one, whichever step is the last; the next write goes on."""
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=4)
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int")
+    for v in range(3):
+        s.replace("t", rows(*((f"k{i}", v) for i in range(20))), keys=["k"])
+    before = {tuple(r) for r in s.read("t").collect()}
+    real_write, real_point = s._write, s._point
+
+    def write(*args):
+        real_write(*args)
+        raise Crash
+
+    def point(name, pointer):
+        if step == "pointer":
+            (tmp_path / "s" / "t" / ".pointer-half").write_text("{")  # what a write that ended in the middle leaves
+            raise Crash
+        monkeypatch.setattr(s, "_tidy", lambda *a: (_ for _ in ()).throw(Crash()))
+        if step == "rename":
+            real = s._numbers
+            monkeypatch.setattr(s, "_numbers", lambda name: real(name)[1:])  # another writer has this number by now
+        real_point(name, pointer)
+
+    if step == "data":
+        monkeypatch.setattr(s, "_write", write)
+    else:
+        monkeypatch.setattr(s, "_point", point)
+    with pytest.raises((Crash, store.StoreError)):
+        s.upsert("t", rows(("k1", 9), ("new", 9)), ["k"], deleted=spark.createDataFrame([("k2",)], "k string"))
+    after = (before - {("k1", 2), ("k2", 2)}) | {("k1", 9), ("new", 9)}
+    fresh = store.Store(spark, f"file://{tmp_path}/s", buckets=4)
+    assert {tuple(r) for r in fresh.read("t").collect()} == (after if step == "tidy" else before)
+    fresh.upsert("t", rows(("k3", 7)), ["k"])
+    assert ("k3", 7) in {tuple(r) for r in fresh.read("t").collect()}
+    for p in (tmp_path / "s" / "t").glob("pointer-*"):
+        p.unlink()
+    with pytest.raises(store.StoreError):
+        fresh.read("t")
+    with pytest.raises(store.StoreError):
+        incremental.Maintainer(store.Store(spark, f"file://{tmp_path}/s"), None, None).store.read("t")
+
+
+def test_upserts_rewrite_their_buckets_alone(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=8)
+    s.replace("t", spark.createDataFrame([(f"k{i}", i) for i in range(100)], "k string, v int"), keys=["k"])
+    old = s._pointer("t")["data"]
+    s.upsert("t", spark.createDataFrame([("k5", -1)], "k string, v int"), ["k"])
+    new = s._pointer("t")["data"]
+    assert len(old) == 8 and sum(old[b] != new[b] for b in old) == 1
+    assert s.lookup("t", spark.createDataFrame([("k5",)], "k string"), ["k"]).first().v == -1 and s.stats("t", "none") == {"t": 100}
+    empty = spark.createDataFrame([], "k string, v int")
+    s.replace("e", empty, keys=["k"])
+    s.upsert("e", empty, ["k"])
+    assert s.read("e").count() == 0
+
+
+def test_package_importers(spark):
+    records = spark.createDataFrame([("p/a.go",), ("p/b.go",), ("q/c.go",)], "path string")
+    edges = spark.createDataFrame([("q/c.go", "p/a.go")], "source string, target string")
+    state = spark.createDataFrame([("p/new.go", "upsert")], "path string, op string")
+    got = incremental.Maintainer._package_importers(records, edges, state, state.select("path"))
+    assert [r.path for r in got.collect()] == ["q/c.go"]
+
+
+def test_security_rules(spark):
+    """A hit and a miss for every rule; ids, severities, allowed lines and configured rules."""
+    hits = {
+        "js-eval": "x = eval (s)", "js-innerHTML": "el.innerHTML = s", "js-document-write": "document.write(s)", "js-new-function": "new Function('a')",
+        "js-dangerous-timeout": "setTimeout('x()', 1)", "js-dangerous-interval": "setInterval(`x()`, 1)", "js-hardcoded-secret": "apiKey: 1, TOKEN: 'abcdefgh1'", "js-log-sensitive": "console.warn('user', Password)",
+        "py-exec": "exec(s)", "py-eval": "eval(s)", "py-shell-true": "subprocess.run(c, shell=True)", "py-os-system": "os.system(c)", "py-hardcoded-secret": "password = 'longenough'", "py-log-sensitive": "logger.info(f'{credential}')",
+        "java-runtime-exec": "Runtime.getRuntime().exec (c)", "java-process-builder": "new ProcessBuilder(c)", "java-file-upload": "f.transferTo(g)", "java-hardcoded-secret": 'String apikey = "abcdefgh"', "java-log-sensitive": "log.debug(secret)",
+    }
+    kind = {"js": ("typescript", "a.ts"), "py": ("python", "a.py"), "java": ("java", "A.java")}
+    rows = [(kind[r.split("-")[0]][1], kind[r.split("-")[0]][0], t, False) for r, t in hits.items()]
+    for clean in ("retrieval(s)", "timeout(x, 1)", "token = 'short'"):
+        rows += [("b.js", "javascript", clean, False)]
+    rows += [("c.py", "python", "d = {'password': 'longenough'}", False), ("c.py", "python", "token: 'longenough'", False), ("d.js", "javascript", "eval(x) // security-scan-ignore", False), ("d.js", "javascript", "expect(() => eval(x)).toThrow()", False), ("x/test/f.js", "javascript", "secret = 'dummy_value_1'", False), ("t.js", "javascript", "eval(x)", True)]
+    rows += [("e.py", "python", "eval(x)  # security-scan-ignore", False)]
+    t = spark.createDataFrame(rows, "path string, lang string, text string, is_test boolean")
+    got = findings.security_scan(t).collect()
+    own = {r.rule for r in got if r.path in {p for _, p in kind.values()}}
+    assert own == set(hits) == set(findings.SECURITY_IDS)
+    assert {(r.path, r.rule) for r in got if r.path not in {p for _, p in kind.values()}} == {("e.py", "py-eval")}
+    assert {r.rule: r.severity for r in got}["java-log-sensitive"] == "low"
+    assert {r.rule for r in findings.security_scan(t, language="java").collect()} == {r for r in hits if r.startswith("java")}
+    rules, allow = findings.security_rules({"rules": [{"lang": "x", "ext": r"\\.py$", "rules": [{"id": "no-os", "pattern": "OS\\.", "flags": "i", "severity": "high"}]}], "allowlist": [{"ruleIdContains": ["no-os"], "pattern": "never"}]})
+    assert {(r.path, r.rule) for r in findings.security_scan(t, rules, allow).collect()} == {("a.py", "no-os")}
+    with pytest.raises(ValueError):
+        findings.security_rules({"rules": [{"ext": "", "rules": [{"id": "x", "pattern": "(", "severity": "low"}]}]})
+
+
+def test_public_modules_and_registries(spark):
+    files = spark.createDataFrame([(p, p) for p in ("k/src/lib.rs", "k/src/a.rs", "k/src/a/b.rs", "k/src/c/mod.rs", "k/src/hidden.rs", "r.js")], "node string, path string")
+    exports = spark.createDataFrame([("k/src/lib.rs", "a", "module"), ("k/src/lib.rs", "c", "module"), ("k/src/a.rs", "b", "module"), ("k/src/a.rs", "f", "function")], "node string, name string, kind string")
+    public = findings.rust_public_modules(files, exports)
+    assert {r.node for r in public.collect()} == {"k/src/a.rs", "k/src/a/b.rs", "k/src/c/mod.rs"}
+    dead = spark.createDataFrame([(n, x, 0, "high", 0.95) for n, x in (("k/src/a.rs", "f"), ("k/src/hidden.rs", "g"), ("r.js", "REG"))], "node string, name string, importers int, confidence string, value double")
+    out = {r.node: (r.confidence, r.value, r.false_positive) for r in findings.downgraded(dead, files, public, [("r.js", ["REG"])]).collect()}
+    assert out == {"k/src/a.rs": ("low", 0.5, "rust-public-api"), "k/src/hidden.rs": ("high", 0.95, None), "r.js": ("low", 0.5, "dynamic-registry-export")}
+
+
+def test_frameworks_and_scaffolds(spark):
+    rows = [("a.ts", "@Controller()\nclass A {}", "nestjs"), ("b.js", "x" * 9000 + " APP.GET('/')", "express"), ("m.vue", "import { ref } from 'vue'", "vue"), ("t.py", "@shared_task", "celery"), ("s.java", "@ControllerAdvice", "spring-boot"), ("c.java", "@RestController", "spring"), ("g.go", "c *fiber.Ctx", "fiber"), ("r.rs", "Router::new()", "axum"), ("k.kt", "routing {", "ktor"), ("n.txt", "@Controller", None), ("proj/urls.py", "", "django"), ("z.js", None, None)]
+    got = {r.path: r.hint for r in spark.createDataFrame([r[:2] for r in rows], "path string, text string").select("path", scan.framework_hint(F.col("path"), F.col("text")).alias("hint")).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    scan.register_framework("php", "laravel", ["Route::get("])
+    assert one(spark, scan.framework_hint(F.lit("w.php"), F.lit("route::get('/')"))) == "laravel"
+    want = {"a/SysUser.java": "scaffold-ruoyi", "x/ruoyi/StringUtils.java": "scaffold-ruoyi", "x/StringUtils.java": None, "src/permission.js": "scaffold-vue-admin", "src/generator/x.ts": "scaffold-vue-admin", "src/x.ts": None}
+    assert {r.p: r.s for r in spark.createDataFrame([(p,) for p in want], "p string").select("p", scan.scaffold(F.col("p")).alias("s")).collect()} == want
+
+
+def test_filtered(spark):
+    df = spark.createDataFrame([("a", "high"), ("b", "low"), ("c", "high")], "path string, risk string").orderBy("path")
+    levels = ("high", "medium", "low")
+    assert report.filtered(df, "risk", "high", levels, 5, 1) == {"count": 1, "total": 3, "items": [{"path": "a", "risk": "high"}]}
+    assert report.filtered(df, "risk", "odd", levels)["count"] == 3 and report.filtered(df, "risk", None, levels, 2)["count"] == 2

@@ -99,3 +99,44 @@ def test_impact_stops_at_entries_and_grows_with_depth(spark):
 def test_reverse_twice_is_the_graph(spark):
     pairs = [("a", "b"), ("b", "c"), ("a", "b")]
     assert {tuple(r) for r in graph.reverse(graph.reverse(frame(spark, pairs))).collect()} == set(pairs)
+
+
+def test_cycle_caps_are_told(spark):
+    """A complete graph of 100 nodes ends and says that it is cut, as do a ring longer than the cap and a cap over all."""
+    e = lambda pairs: spark.createDataFrame(pairs, "source long, target long")
+    full = graph.cycles(e([(a, b) for a in range(100) for b in range(100) if a != b])).collect()
+    assert len(full) == 25 and all(r.truncated for r in full) and [r.path for r in full][:2] == [[0, 1], [0, 2]]
+    ring = graph.cycles(e([(k, (k + 1) % 12) for k in range(12)])).collect()
+    assert [(r.path, r.truncated) for r in ring] == [([], True)]
+    three = [(10 * g + a, 10 * g + b) for g in range(5) for a, b in ((0, 1), (1, 2), (2, 0))]
+    assert [r.truncated for r in graph.cycles(e(three), most=3).collect()] == [True] * 3
+    assert sorted((r.path, r.truncated) for r in graph.cycles(e(three)).collect()) == [([10 * g, 10 * g + 1, 10 * g + 2], False) for g in range(5)]
+    layers = [(a, b) for k in range(6) for a in range(20 * k, 20 * k + 20) for b in range(20 * ((k + 1) % 6), 20 * ((k + 1) % 6) + 20)]
+    assert all(r.truncated for r in graph.cycles(e(layers), beam=500).collect())
+
+
+def test_reuse_candidates_against_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cairnfield.functions.similarity import similarity
+    from cairnfield.operators import diff
+
+    rng = random.Random(2)
+    words_, calls = ["get", "set", "user", "load", "x"], ["a", "b", "c"]
+
+    def row(i):
+        shape = (rng.randint(0, 2), rng.choice([[], [], rng.sample(calls, rng.randint(1, 2))]), rng.random() < 0.3, False, False, rng.randint(0, 2), rng.randint(0, 1))
+        return (f"f{rng.randint(0, 7)}", "".join(w.capitalize() for w in rng.choices(words_, k=2)) + str(i), rng.choice([None, shape, shape, shape]))
+
+    schema = "file string, name string, fingerprint struct<paramCount:int,callCallees:array<string>,isAsync:boolean,isGenerator:boolean,hasTryCatch:boolean,branchCount:int,returnCount:int>"
+    changed, functions = spark.createDataFrame([row(i) for i in range(25)], schema), spark.createDataFrame([row(100 + i) for i in range(120)], schema)
+    a, b = changed.toDF("file_a", "name_a", "pa").distinct(), functions.toDF("file_b", "name_b", "pb").distinct()
+    pairs = a.join(b, F.col("file_a") != F.col("file_b")).withColumn("s", F.round(similarity(F.col("name_a"), F.col("name_b"), F.col("pa"), F.col("pb")), 9)).filter("s >= 0.5").collect()
+    want = set()
+    for key in {(r.file_a, r.name_a) for r in pairs}:
+        own = sorted((-r.s, r.file_b, r.name_b) for r in pairs if (r.file_a, r.name_a) == key)[:3]
+        want |= {(*key, f, n, -s, k + 1) for k, (s, f, n) in enumerate(own)}
+    got = {(r.file_a, r.name_a, r.file_b, r.name_b, round(r.score, 9), r["rank"]) for r in diff.reuse_candidates(changed, functions).collect()}
+    assert got == want and len(want) > 20
