@@ -88,7 +88,8 @@ class Surface:
 
     def _foreign(self, statement: str) -> str | None:
         """A relation that isn't one of the tables, from the parsed plan and its subqueries."""
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).treeString()
+        inner = re.sub(r"(?i)^explain\b", "", statement)  # a command doesn't show the plan that it holds
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(inner).treeString()
         names = re.findall(r"UnresolvedRelation \[(.*?)\], \[", plan) + re.findall(r"UnresolvedTableOrView \[(.*?)\]", plan)
         known = {n.lower() for n in self.tables}
         odd = next((n for n in names if n.strip("`").lower() not in known), None)

@@ -382,7 +382,7 @@ def test_security_rules(spark):
     assert {(r.path, r.rule) for r in got if r.path not in {p for _, p in kind.values()}} == {("e.py", "py-eval")}
     assert {r.rule: r.severity for r in got}["java-log-sensitive"] == "low"
     assert {r.rule for r in findings.security_scan(t, language="java").collect()} == {r for r in hits if r.startswith("java")}
-    rules, allow = findings.security_rules({"rules": [{"lang": "x", "ext": r"\\.py$", "rules": [{"id": "no-os", "pattern": "OS\\.", "flags": "i", "severity": "high"}]}], "allowlist": [{"ruleIdContains": ["no-os"], "pattern": "never"}]})
+    rules, allow = findings.security_rules({"rules": [{"lang": "x", "ext": r"\.py$", "rules": [{"id": "no-os", "pattern": "OS\\.", "flags": "i", "severity": "high"}]}], "allowlist": [{"ruleIdContains": ["no-os"], "pattern": "never"}]})
     assert {(r.path, r.rule) for r in findings.security_scan(t, rules, allow).collect()} == {("a.py", "no-os")}
     with pytest.raises(ValueError):
         findings.security_rules({"rules": [{"ext": "", "rules": [{"id": "x", "pattern": "(", "severity": "low"}]}]})
