@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.llm import decontaminate, langid, line_dedup, packing, queries, simhash
-from cairnfield.llm.common import remove, shared_dir
+from cairnfield.llm.common import remove, scratch, shared_dir
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,18 +52,20 @@ STAGES = [
     ("sequences", sequences),
 ]
 
-#: SQL can't express hashed n-gram models, XXH64 fingerprints or a tokenizer: tests/llm holds the stages against
-#: brute-force versions instead.
+#: SQL can't express hashed n-gram models, XXH64 fingerprints or a tokenizer: tests/llm/test_learned.py holds run()
+#: against the five stages in plain Python instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a table in the shared folder, gone once the next has read it."""
+    """All stages over documents. Each stage's result is a table in the shared folder, gone once the next has read it;
+    what the operators keep there goes with their stage."""
     docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_dir(spark, name)
-        out = stage(spark, docs, sf_dir)
-        out.write.option("compression", "zstd").parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
         if before:
             remove(spark, before)
