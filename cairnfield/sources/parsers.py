@@ -223,7 +223,7 @@ rust = _c_like(
 cpp = _c_like(
     r"(?m)^\s*#\s*include\s*\"(?P<source>[^\"]+)\"",
     r"(?m)^[ \t]*(?P<kind>class|struct|enum|namespace)\s+(?P<name>\w+)\s*(?=[:{])",
-    r"(?m)^(?P<ret>[\w:<>*&, ]+?)[ *&]+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?:const\s*)?\{",
+    r"(?m)^(?P<ret>[\w:<>*&, ]+?)[ *&]+(?P<name>(?!(?:if|for|while|switch|catch)\b)\w+)\s*\((?P<params>[^)]*)\)\s*(?:const\s*)?\{",
     lambda m: "static" not in m[0],
 )
 _go_plain = _c_like(
