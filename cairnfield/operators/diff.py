@@ -73,9 +73,9 @@ def client_calls(sources: DataFrame) -> DataFrame:
     return sources.select("file", F.explode(F.concat(axios, fetch)).alias("c")).select("file", "c.method", "c.path")
 
 
-def server_routes(sources: DataFrame, head: int = 16384) -> DataFrame:
-    """(file, method, path) of route declarations in the first bytes of sources(file, text)."""
-    text = F.substring("text", 1, head)
+def server_routes(sources: DataFrame) -> DataFrame:
+    """(file, method, path) of route declarations in the whole texts of sources(file, text)."""
+    text = F.col("text")
     js = F.transform(F.regexp_extract_all(text, F.lit(r"\b(?:app|router)\.(?:get|post|put|patch|delete)\(\s*['\"`][^'\"`]+"), 0), lambda m: F.struct(F.upper(F.regexp_extract(m, r"\.(\w+)\(", 1)).alias("method"), F.regexp_extract(m, r"['\"`](.+)$", 1).alias("path")))
     py = F.transform(F.regexp_extract_all(text, F.lit(r"@\w+\.(?:get|post|put|patch|delete)\(\s*['\"][^'\"]+"), 0), lambda m: F.struct(F.upper(F.regexp_extract(m, r"\.(\w+)\(", 1)).alias("method"), F.regexp_extract(m, r"['\"](.+)$", 1).alias("path")))
     java = F.transform(F.regexp_extract_all(text, F.lit(r"@(?:Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*)?\"[^\"]+"), 0), lambda m: F.struct(F.upper(F.regexp_extract(m, r"@(\w+)Mapping", 1)).alias("method"), F.regexp_extract(m, r"\"(.+)$", 1).alias("path")))
