@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .functions.comments import stripped
 from .functions.similarity import similarity, structural
+from .lineage import cut, workshop
 from .operators import diff, findings, graph, symbols
 from .plans import resolve
 from .queries import query
-from .sources import domain, git, parsers, scan
+from .sources import domain, git, parsers, scan, store
 from .sources.domain import table, with_ctes
-from .streaming import incremental
+from .streaming import incremental, listeners
 
 _P = "p AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, p_size AS s FROM part)"
 
@@ -465,3 +466,104 @@ def s26_semgrep(spark, d):
 @query(f"WITH {_P} SELECT k, CASE WHEN s % 6 IN (0, 1) THEN 'error' WHEN s % 6 IN (2, 3) THEN 'warning' ELSE 'info' END AS severity FROM p")
 def f27_linter_severity(spark, d):
     return _p(spark, d).select("k", git.linter_severity(_by(6, "Fatal", "2", "WARN", "1", "note", "%a%")).alias("severity"))
+
+
+# Stored tables and their maintenance
+
+
+@query(f"WITH {_P} SELECT k, b AS a FROM p WHERE s > 10")
+def s22_replaced(spark, d):
+    p = _p(spark, d)
+    with workshop(spark) as folder:
+        kept = store.Store(spark, folder)
+        kept.replace("t", p.select("k", "a"), keys=["k"])
+        kept.replace("t", p.filter("s > 10").select("k", F.col("b").alias("a")), keys=["k"])
+        return cut(kept.read("t"))
+
+
+@query(f"WITH {_P} SELECT k, CASE WHEN s % 3 = 0 THEN 'again' ELSE a END AS a FROM p WHERE s % 3 = 0 OR (s % 5 <> 0 AND k % 2 = 0)")
+def s23_upserted(spark, d):
+    """Every other row is there before; some are replaced or added, and some deleted."""
+    p = _p(spark, d)
+    with workshop(spark) as folder:
+        kept = store.Store(spark, folder)
+        kept.replace("t", p.filter("k % 2 = 0").select("k", "a"), keys=["k"])
+        kept.upsert("t", p.filter("s % 3 = 0").select("k", F.lit("again").alias("a")), ["k"], deleted=p.filter("s % 5 = 0").select("k"))
+        return cut(kept.read("t"))
+
+
+@query(f"WITH {_P} SELECT k, a, b FROM p WHERE s = 50")
+def s21_looked_up(spark, d):
+    p = _p(spark, d)
+    with workshop(spark) as folder:
+        kept = store.Store(spark, folder)
+        kept.replace("t", p.select("k", "a", "b"), keys=["k"])
+        return cut(kept.lookup("t", p.filter("s = 50").select("k"), ["k"]))
+
+
+def _rings(spark: SparkSession, d: str, folder: str) -> tuple[DataFrame, incremental.Maintainer]:
+    """(all files, a maintainer of the edges that join a file with the next one), of the files of size 40 or less."""
+    everything = _p(spark, d).select(_fill("f%k%").alias("path"), "k", "s")
+
+    def derive(of: DataFrame) -> DataFrame:
+        return everything.join(of, "path", "left_semi").select("path", F.array(F.concat(F.lit("f"), F.col("k") + 1)).alias("imports"))
+
+    def resolved(records: DataFrame, files: DataFrame) -> DataFrame:
+        wanted = records.select(F.col("path").alias("source"), F.explode("imports").alias("target"))
+        return wanted.join(files.select(F.col("path").alias("target")), "target", "left_semi").select("source", "target")
+
+    return everything, incremental.Maintainer(store.Store(spark, folder), derive, resolved)
+
+
+@query(f"WITH {_P} SELECT 'f' || x.k AS source, 'f' || y.k AS target FROM p x JOIN p y ON y.k = x.k + 1 WHERE x.s > 5 AND y.s > 5")
+def x4_delta_edges(spark, d):
+    """Files of size 40 or less are there before; a batch deletes the smallest and brings the others. The edges
+    kept up to date are those of a rebuild."""
+    with workshop(spark) as folder:
+        everything, keeper = _rings(spark, d, folder)
+        keeper.rebuild(everything.filter("s <= 40").select("path"))
+        op = F.when(F.col("s") <= 5, "delete").otherwise("upsert")
+        keeper.apply(everything.filter("s <= 5 OR s > 40").select(F.lit(0).cast("timestamp").alias("ts"), "path", op.alias("op")))
+        if keeper.rebuilds != 1:
+            raise AssertionError("the batch was to be a delta")
+        return cut(keeper.store.read("edges"))
+
+
+@query(f"WITH {_P} SELECT 'f' || k AS file, CASE WHEN s % 4 = 0 THEN 'second' ELSE 'first' END AS message FROM p WHERE s % 4 = 0 OR (s % 4 <> 1 AND s % 2 = 1) OR s % 4 = 2")
+def x11_diagnosed(spark, d):
+    """All files are checked; then those of a size that 4 divides change, and those one larger go."""
+    files = _p(spark, d).select(_fill("f%k%").alias("path"), "s")
+    at = F.lit(0).cast("timestamp").alias("ts")
+    with workshop(spark) as folder:
+        kept = store.Store(spark, folder)
+        for message, batch in (("first", files.select(at, "path", F.lit("upsert").alias("op"))), ("second", files.filter("s % 4 < 2").select(at, "path", F.when(F.col("s") % 4 == 0, "upsert").otherwise("delete").alias("op")))):
+            listeners.Diagnoser(kept, lambda paths_, m=message: paths_.select(F.col("path").alias("file"), F.lit(m).alias("message"))).apply(batch)
+        return cut(kept.read("diagnostics"))
+
+
+@query("SELECT ts, event_type AS kind, value FROM events WHERE event_type IN ('error', 'purchase', 'click')")
+def x13_trend(spark, d):
+    """Snapshots are appended, and compacted every second time."""
+    e = table(spark, d, "events").select("ts", F.col("event_type").alias("kind"), "value")
+    with workshop(spark) as folder:
+        kept = store.Store(spark, folder)
+        for kind in ("error", "purchase", "click"):
+            incremental.append_trend(e.filter(F.col("kind") == kind), kept, compact_every=2)
+        return cut(kept.read("trend"))
+
+
+@query(f"WITH {_P} SELECT count(*) AS files, CAST(sum(s) AS BIGINT) AS total_lines, count(*) AS parse_results, (SELECT count(DISTINCT w) FROM (SELECT a AS w FROM p UNION ALL SELECT b FROM p)) AS symbols, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS diagnostics FROM p")
+def a25_warm_counts(spark, d):
+    p = _p(spark, d)
+    names = p.select(F.explode(F.array("a", "b")).alias("name"))
+    return store.warm_counts(p.select(F.col("s").alias("line_count")), p.select("k"), names, table(spark, d, "lineitem").filter("l_returnflag = 'R'"))
+
+
+@query("""WITH m AS (SELECT l_partkey AS node, max(l_quantity) AS pagerank FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), t AS (SELECT l_partkey AS node, list_sort(list(DISTINCT l_suppkey)) AS tests FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT p_partkey AS path, pagerank, coalesce(tests, []) AS tests FROM part LEFT JOIN m ON m.node = p_partkey LEFT JOIN t ON t.node = p_partkey""")
+def j23_restored(spark, d):
+    lines = table(spark, d, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "A", "pagerank").otherwise("coupling")
+    metrics = lines.select(F.col("l_partkey").alias("file"), kind.alias("dimension"), F.col("l_quantity").alias("value"))
+    tests = lines.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("test"))
+    return store.restored(table(spark, d, "part").select(F.col("p_partkey").alias("path")), metrics, tests)

@@ -193,10 +193,31 @@ class Store:
         return Stamp(**p["stamp"]) if p and p["version"] == self.version and p["stamp"] else None
 
     def stats(self, *names: str) -> dict[str, int]:
-        """Rows of each table that is there."""
+        """Rows of each table that is there."""
         return {n: df.count() for n in names if (df := self.read(n)) is not None}
 
 
+def warm_counts(files: DataFrame, parsed: DataFrame, symbols_: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row of what is kept: files, parse_results, symbols (distinct names), diagnostics and total_lines."""
+    lines = files.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.col("line_count").cast("long")), F.lit(0)).alias("total_lines"))
+    rest = (parsed.agg(F.count("*").alias("parse_results")), symbols_.agg(F.countDistinct("name").alias("symbols")), diagnostics.agg(F.count("*").alias("diagnostics")))
+    for one in rest:  # a row each
+        lines = lines.join(one)
+    return lines
+
+
+def restored(files: DataFrame, metrics: DataFrame, tests: DataFrame) -> DataFrame:
+    """Files with pagerank and tests as they were kept: metrics(file, dimension, value) and tests(source, test).
+
+    Of several ranks of a file the largest counts. A file without a kept rank has null, and one without tests an empty
+    list; what is kept of files that are gone is left out.
+    """
+    rank = metrics.filter("dimension = 'pagerank'").groupBy(F.col("file").alias("path")).agg(F.max("value").alias("pagerank"))
+    own = tests.groupBy(F.col("source").alias("path")).agg(F.sort_array(F.collect_set("test")).alias("tests"))
+    out = files.drop("pagerank", "tests").join(rank, "path", "left").join(own, "path", "left")
+    return out.withColumn("tests", F.coalesce("tests", F.array().cast(own.schema["tests"].dataType)))
+
+
 def signature(files: DataFrame, *columns: str) -> Column | DataFrame:
     """A23 for many files: one row with the sum of the rows' hashes, which no order changes and partial sums suffice for."""
     return files.agg(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("signature"), F.count("*").alias("n"))
