@@ -18,7 +18,7 @@ from .lineage import cut, workshop
 from .operators import diff, findings, graph, symbols
 from .plans import resolve
 from .queries import query
-from .sources import domain, git, parsers, scan, store
+from .sources import adapters, domain, git, parsers, scan, store
 from .sources.domain import table, with_ctes
 from .streaming import incremental, listeners
 
@@ -468,6 +468,22 @@ def f27_linter_severity(spark, d):
     return _p(spark, d).select("k", git.linter_severity(_by(6, "Fatal", "2", "WARN", "1", "note", "%a%")).alias("severity"))
 
 
+@query(f"""WITH {_P} SELECT 'semgrep' AS tool, 'r-' || a AS rule, CASE s % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 'f' || k AS file, s AS line, s + 2 AS line_end, b AS message FROM p
+UNION ALL SELECT 'codeql', 'q-' || a, CASE WHEN s % 2 = 0 THEN 'high' ELSE 'medium' END, 'f' || k, s, s, b FROM p WHERE s % 5 <> 0""")
+def e7_adapters(spark, d):
+    """Findings of two tools; one leaves out a level, ends of findings, and here and there the place."""
+    p = _p(spark, d)
+    line = lambda c: F.struct(c.alias("line"))
+    extra = F.struct(_by(3, "ERROR", "WARNING", "INFO").alias("severity"), F.col("b").alias("message"))
+    one = F.struct(_fill("r-%a%").alias("check_id"), _fill("f%k%").alias("path"), line(F.col("s")).alias("start"), line(F.col("s") + 2).alias("end"), extra.alias("extra"))
+    place = F.struct(F.struct(F.struct(_fill("f%k%").alias("uri")).alias("artifactLocation"), F.struct(F.col("s").alias("startLine")).alias("region")).alias("physicalLocation"))
+    places = F.when(F.col("s") % 5 == 0, F.array().cast("array<" + "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>")).otherwise(F.array(place))
+    two = F.struct(_fill("q-%a%").alias("ruleId"), _by(2, "error", None).alias("level"), F.struct(F.col("b").alias("text")).alias("message"), places.alias("locations"))
+    report = lambda c: p.select(F.to_json(c).alias("json"))
+    runs = F.struct(F.array(F.struct(F.array(two).alias("results"))).alias("runs"))
+    return adapters.combined({adapters.Semgrep(): report(F.struct(F.array(one).alias("results"))), adapters.Sarif("codeql"): report(runs)})
+
+
 # Stored tables and their maintenance
 
 
