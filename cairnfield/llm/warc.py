@@ -140,7 +140,7 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write(pages: DataFrame, folder: str, least: int = 0, roll: int = 1 << 30, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> DataFrame:
+def write(pages: DataFrame, folder: str, least: int = 0, roll: int = 1 << 30, date: str = "2024-01-01T00:00:00Z", level: int = 3, shares: int = 10_000) -> DataFrame:
     """Writes a record per row of pages(page_id, url, html) into archives in folder; returns (path, records, bytes).
 
     The payload is html in UTF-8, null being empty. Among equal payloads of `least` bytes or more, the rows of the
@@ -148,13 +148,22 @@ def write(pages: DataFrame, folder: str, least: int = 0, roll: int = 1 << 30, da
     after all others; where a payload has null ids alone, all are responses. A task writes archives of about `roll`
     bytes under names of their own, and what counts is the returned list: a task that fails or runs twice leaves
     files that nothing reads.
+
+    Payloads that make up one row in `shares` or more, of which there are `shares` at most, are looked up in a broadcast,
+    and their rows are dealt by page; so no task gets more than that share of the rows for the sake of one payload.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("body")).withColumn("sha", F.sha1("body"))
     first = pages.select("page_id", F.sha1(body).alias("sha"), F.length(body).alias("n")).filter(F.col("n") >= least)
-    first = first.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("sha", "first")
+    first = first.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    often = F.col("n") * shares >= pages.count()
+    hot = first.filter(often).select("sha", F.col("first").alias("hot"), F.lit(True).alias("is_hot"))
+    rows = rows.join(F.broadcast(hot), "sha", "left")
+    alone = F.concat("sha", F.lit(" "), F.xxhash64("page_id", "url").cast("string"))  # meets nothing
+    rows = rows.withColumn("key", F.when(F.col("is_hot") | (F.length("body") < least), alone).otherwise(F.col("sha")))
+    rows = rows.join(first.filter(~often).select(F.col("sha").alias("key"), "first"), "key", "left").withColumn("first", F.coalesce("hot", "first"))
     revisit = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.join(first, "sha", "left").select("page_id", "url", "body", revisit.alias("refers_to"))
+    rows = rows.select("page_id", "url", "body", revisit.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, done, name, n = None, None, [], "", 0

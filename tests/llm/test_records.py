@@ -39,6 +39,14 @@ def test_warc_round_trip(spark, least):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str) == expected(ROWS, least)
 
 
+@pytest.mark.parametrize(("shares", "least"), [(1, 0), (4, 0), (4, 5), (10_000, 5)])
+def test_warc_frequent_payloads(spark, shares, least):
+    """Of 10 rows, at 4 shares the payload of 3 is frequent and that of 2 isn't; at 1 none is, at 10,000 all are."""
+    p = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(3)
+    rows = warc.scan(warc.write(p, shared_dir(spark, "warc"), least, shares=shares), payload=False).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str) == expected(ROWS, least)
+
+
 def test_warc_payloads_rolling_and_empty(spark):
     p = spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1)
     archives = warc.write(p, shared_dir(spark, "warc"), least=1 << 30, roll=200)
