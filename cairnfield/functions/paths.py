@@ -98,13 +98,19 @@ def role(path: Column) -> Column:
     )
 
 
+#: Fixed values: names of directories at the top that tell a role; earlier roles come first.
+DIRECTORY_HINTS = {
+    "generated": ("dist", "build", "coverage", ".next", "out", "generated", ".turbo"),
+    "archive": ("archive", "archives", "attic", "deprecated", "legacy", "prototype", "prototypes"),
+    "reference": ("reference", "references", "example", "examples", "sample", "samples", "demo", "demos", "benchmark", "benchmarks", "e2e", "fixtures", "mocks", "mock", "__mocks__"),
+}
+
+
 def directory_role(path: Column, configured: dict[str, str] | None = None) -> Column:
-    """Configured prefixes come first, the longest of them; then hints in the path; active otherwise."""
-    out = F.lit("active")
-    hints = {"reference": ("reference", "references", "vendor", "third_party", "node_modules"), "archive": ("archive", "archives", "legacy", "deprecated", "old"), "generated": ("generated", "dist", "build", "out", "target")}
-    low = F.concat(F.lit("/"), F.lower(path))
-    for name, dirs in hints.items():
-        out = F.when(low.rlike("/(" + "|".join(dirs) + ")/"), name).otherwise(out)
+    """Configured prefixes come first, the longest of them; then the name of the top directory; active otherwise."""
+    top, out = F.split(path, "/")[0], F.lit("active")
+    for name, dirs in DIRECTORY_HINTS.items():
+        out = F.when(top.isin(*dirs), name).otherwise(out)
     for at, name in sorted((configured or {}).items(), key=lambda kv: len(kv[0])):
         out = F.when((path == at) | path.startswith(at.rstrip("/") + "/"), name).otherwise(out)
     return out

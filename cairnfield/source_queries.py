@@ -205,13 +205,14 @@ def f9_structural(spark, d):
     return j.select("k", F.round(structural(F.col("a"), F.col("b")) + 1e-9, 6).alias("shape"), F.round(alike + 1e-9, 6).alias("alike"))
 
 
-_PLACES = ("vendor/x%a%/f%k%.js", "legacy/x%a%/f%k%.js", "x/dist/x%a%/f%k%.js", "src/x%a%/f%k%.js")
+_PLACES = ("examples/%a%/dist/f%k%.js", "legacy/%a%/f%k%.js", "dist/%a%/f%k%.js", "src/%a%/legacy/f%k%.js")
 
 
-@query(f"WITH {_P} SELECT {_by_sql(4, *_PLACES)} AS path, CASE WHEN s % 4 = 0 THEN 'reference' WHEN s % 4 = 1 THEN 'archive' WHEN s % 4 = 2 THEN 'generated' WHEN a = 'gear' THEN 'archive' ELSE 'active' END AS role FROM p")
+@query(f"WITH {_P} SELECT {_by_sql(4, *_PLACES)} AS path, CASE WHEN s % 4 = 0 THEN 'reference' WHEN s % 4 = 1 THEN 'archive' WHEN s % 4 = 2 THEN CASE WHEN a = 'red' THEN 'active' ELSE 'generated' END WHEN a = 'gear' THEN 'archive' ELSE 'active' END AS role FROM p")
 def p2_directory_roles(spark, d):
+    """Hints count at the top alone, and what is configured goes before them."""
     path = _by(4, *_PLACES)
-    return _p(spark, d).select(path.alias("path"), paths.directory_role(path, {"src": "active", "src/xgear": "archive"}).alias("role"))
+    return _p(spark, d).select(path.alias("path"), paths.directory_role(path, {"src": "active", "src/gear": "archive", "dist/red": "active"}).alias("role"))
 
 
 _HINTED = ("app/%a%/page.tsx", "pages/%a%.js", "%a%/urls.py", "src/%a%.js")
@@ -232,7 +233,7 @@ def p8_framework_marks(spark, d):
     return _p(spark, d).select("k", scan.framework_hint(_by(6, *[m[0] for m in _MARKED]), text).alias("framework"))
 
 
-_ENTRIES = ("src/x%a%/%k%/main.js", "x%a%/%k%/x.py", "bin/%a%%k%.js", "src/x%a%/%k%.js")
+_ENTRIES = ("src/%a%/%k%/main.js", "%a%/%k%/x.py", "bin/%a%%k%.js", "src/%a%/%k%.js")
 
 
 @query(f"WITH {_P} SELECT {_by_sql(4, *_ENTRIES)} AS path, {_by_sql(4, 'entry', 'library', 'script', 'library')} AS file_role, s % 4 < 3 AS is_entry, false AS is_test, true AS is_mainline FROM p")

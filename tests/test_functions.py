@@ -64,12 +64,13 @@ def test_url_paths(spark):
 
 
 def test_paths(spark):
-    rows = spark.createDataFrame([("src/a/FooTest.java",), ("tests/test_foo.py",), ("src/foo.test.js",), ("docs/readme.md",), ("vendor/x.js",), ("main.py",), ("a/b/c/d.e.ts",)], "p string")
+    rows = spark.createDataFrame([("src/a/FooTest.java",), ("tests/test_foo.py",), ("src/foo.test.js",), ("docs/readme.md",), ("vendor/x.js",), ("examples/x.js",), ("src/examples/x.js",), ("main.py",), ("a/b/c/d.e.ts",)], "p string")
     got = rows.select("p", paths.is_test(F.col("p")).alias("t"), paths.role(F.col("p")).alias("r"), paths.signature(F.col("p")).alias("s"), paths.directory_role(F.col("p"), {"main.py": "archive"}).alias("d"), paths.extension(F.col("p")).alias("e"), paths.prefix(F.col("p"), 2).alias("x")).collect()
     by = {r.p: r for r in got}
     assert [by[p].t for p in ("src/a/FooTest.java", "tests/test_foo.py", "src/foo.test.js", "docs/readme.md")] == [True, True, True, False]
     assert by["src/a/FooTest.java"].s == "a/foo" and by["tests/test_foo.py"].s == "foo" and by["src/foo.test.js"].s == "foo"
-    assert by["docs/readme.md"].r == "docs" and by["main.py"].r == "entry" and by["main.py"].d == "archive" and by["vendor/x.js"].d == "reference"
+    assert by["docs/readme.md"].r == "docs" and by["main.py"].r == "entry" and by["main.py"].d == "archive" and by["vendor/x.js"].d == "active"
+    assert by["examples/x.js"].d == "reference" and by["src/examples/x.js"].d == "active"
     assert by["a/b/c/d.e.ts"].e == "ts" and by["a/b/c/d.e.ts"].x == "a/b" and by["main.py"].x == "."
     assert one(spark, paths.matches(F.lit("src/a/b.js"), "src/**/*.js")) and not one(spark, paths.matches(F.lit("src/a/b.js"), "src/*.js")) and one(spark, paths.matches(F.lit("SRC/b.js"), "src/?.js"))
 
