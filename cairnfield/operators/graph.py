@@ -315,44 +315,60 @@ def first_of(df: DataFrame, key: str, order: list[Column], most: int, salts: int
     return near.withColumn("rank", rank).filter(F.col("rank") <= most).drop("__salt")
 
 
-def cycles(edges: DataFrame, longest: int = 8, per_scc: int = 25, most: int = 1000, beam: int = 20_000) -> DataFrame:
+def cycles(edges: DataFrame, longest: int = 8, per_scc: int = 25, most: int | None = None, beam: int | None = None) -> DataFrame:
     """(scc, path, truncated): simple cycles of up to `longest` nodes, each written from its smallest node.
 
-    Paths grow over the edges inside components, and only through nodes larger than their first. Per component the
-    `per_scc` first by length and path are kept, `most` in all. A component that has more than `per_scc` cycles is done:
-    what it would still give is longer. Others keep `beam` paths a round at most. truncated tells that a component may
-    hold cycles that aren't returned: beyond `per_scc`, beyond the beam, beyond `most`, or longer than `longest` as it
+    A cycle of n nodes is a way out of its smallest node of n/2 edges, rounded up, and a way back of the others, neither
+    through smaller nodes; so no way of more than `longest`/2 edges is ever written. Per component the `per_scc` first by
+    length and path are kept, `most` in all if it is given. A component that has more than `per_scc` cycles is done: what
+    it would still give is longer. With `beam`, others keep so many ways a round at most. truncated tells that a component
+    may hold cycles that aren't returned: beyond `per_scc`, beyond the beam, beyond `most`, or longer than `longest` as it
     has more nodes. A component that is cut and has no cycle to show is a row with an empty path.
     """
     groups = cut(scc(edges))
     inside = edges.join(groups.select(F.col("node").alias("source"), "scc"), "source").join(groups.select(F.col("node").alias("target"), F.col("scc").alias("other")), "target").filter("scc = other").select("scc", "source", "target").distinct()
     inside = cut(inside)
     salts = 1 if inside.count() <= SMALL_GRAPH else 32
-    paths = inside.filter("target > source").select("scc", F.array("source", "target").alias("path"))
+    steps = inside.drop("scc")
+    out = inside.filter("target > source").select("scc", F.col("source").alias("s"), F.array("source", "target").alias("path"))
+    back = inside.filter("source > target").select("scc", F.col("target").alias("s"), F.array("source").alias("path"))
     found, dropped = None, groups.select("scc").limit(0)
     over = dropped
+
+    def longer(ways: DataFrame, end: Column, here: str, there: str, grown: Column) -> DataFrame:
+        nonlocal dropped
+        free = (F.col(there) > F.col("s")) & ~F.array_contains("path", F.col(there))
+        more = ways.join(over, "scc", "left_anti").withColumn(here, end).join(steps, here).filter(free).select("scc", "s", grown.alias("path"))
+        if beam is None:
+            return cut(more)
+        more = cut(first_of(more, "scc", [F.col("path")], beam + 1, salts))
+        dropped = dropped.union(more.filter(F.col("rank") > beam).select("scc"))
+        return more.filter(F.col("rank") <= beam).drop("rank")
+
     for n in range(2, longest + 1):
-        step = paths.withColumn("last", F.element_at("path", -1)).join(inside.drop("scc"), F.col("last") == F.col("source")).select("scc", "path", "target")
-        closed = first_of(step.filter(F.col("target") == F.col("path")[0]).select("scc", "path"), "scc", [F.col("path")], per_scc + 1, salts).select("*", F.lit(True).alias("closed"))
-        if n < longest:
-            grown = step.filter((F.col("target") > F.col("path")[0]) & ~F.array_contains("path", F.col("target"))).join(over, "scc", "left_anti")
-            grown = first_of(grown.select("scc", F.concat("path", F.array("target")).alias("path")), "scc", [F.col("path")], beam + 1, salts)
-            closed = closed.union(grown.select("*", F.lit(False).alias("closed")))
-        state = cut(closed)
-        new = state.filter("closed").select("scc", "path")
+        if n > 2 and n % 2:
+            out = longer(out, F.element_at("path", -1), "source", "target", F.concat("path", F.array("target")))
+        elif n > 2:
+            back = longer(back, F.col("path")[0], "target", "source", F.concat(F.array("source"), "path"))
+        if out.isEmpty() or back.isEmpty():
+            break
+        rest = back.select("s", F.col("path")[0].alias("last"), F.slice("path", 2, longest).alias("rest"))
+        met = out.join(over, "scc", "left_anti").withColumn("last", F.element_at("path", -1)).join(rest, ["s", "last"])
+        met = met.filter(~F.arrays_overlap("path", "rest")).select("scc", F.concat("path", "rest").alias("path"))
+        new = cut(first_of(met, "scc", [F.col("path")], per_scc + 1, salts).select("scc", "path"))
         found = new if found is None else found.union(new)
         over = found.groupBy("scc").agg(F.count("*").alias("n")).filter(F.col("n") > per_scc).select("scc")
-        dropped = dropped.union(state.filter(~F.col("closed") & (F.col("rank") > beam)).select("scc"))
-        paths = state.filter(~F.col("closed") & (F.col("rank") <= beam)).select("scc", "path")
-        if paths.isEmpty():
-            break
+    if found is None:
+        found = out.select("scc", "path").limit(0)
     large = groups.groupBy("scc").agg(F.count("*").alias("n")).filter(F.col("n") > longest).select("scc")
     partial = (over.union(dropped).union(large).distinct().withColumn("partial", F.lit(True)))
     kept = first_of(found, "scc", [F.size("path"), F.col("path")], per_scc, salts)
     none = partial.join(found.select("scc").distinct(), "scc", "left_anti").select("scc", F.array().cast(found.schema["path"].dataType).alias("path"), F.lit(0).alias("rank"))
     kept = cut(kept.select("scc", "path", "rank").union(none))
-    many = kept.count() > most
-    kept = kept.orderBy("rank", "scc").limit(most).join(partial, "scc", "left")
+    many = most is not None and kept.count() > most
+    if many:
+        kept = kept.orderBy("rank", "scc").limit(most)
+    kept = kept.join(partial, "scc", "left")
     return kept.select("scc", "path", (F.coalesce("partial", F.lit(False)) | F.lit(many)).alias("truncated"))
 
 
