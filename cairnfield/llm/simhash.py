@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, release, stored
@@ -102,8 +102,8 @@ def _flip_links(fps: DataFrame) -> DataFrame:
     """
     flips = F.array(F.lit(0), *[F.lit(1 << b) if b < 63 else F.lit(-(1 << 63)) for b in range(64)])
     at = fps.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("word"))
-    least = at.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("word", "b")
-    return at.join(least, "word").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    least = at.withColumn("b", F.min("fp").over(Window.partitionBy("word")))
+    return least.filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def links(fps: DataFrame, distance: int = 3, dense: int = 64) -> DataFrame:
@@ -113,6 +113,10 @@ def links(fps: DataFrame, distance: int = 3, dense: int = 64) -> DataFrame:
     through _flip_links first. Such a cell has a main root then, the most frequent one; two members that both have it
     need no comparison, so its join takes the others against all: no component changes, and no cell compares all
     its pairs. distance is at most 3.
+
+    Spark takes an exploded table for hardly larger than the file below it, and would broadcast the near cells, some 50
+    rows a half of a fingerprint, from files of a few MB. So their joins are merge joins, and joins with what is known of
+    crowded cells are such that only that side can be broadcast.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves hold distances up to 3")
@@ -124,7 +128,7 @@ def links(fps: DataFrame, distance: int = 3, dense: int = 64) -> DataFrame:
     known = stored(fps.join(roots, "fp", "left").select("fp", "root"), "grid")  # null: its own root
     own = known.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.posexplode(_halves(F.col("fp"))).alias("k", "cell"))
     of = F.coalesce("ra", "a")
-    main = own.join(counts.select("k", "cell"), ["k", "cell"]).groupBy("k", "cell", of.alias("r")).agg(F.count("*").alias("n"))
+    main = own.join(counts, ["k", "cell"], "left_semi").groupBy("k", "cell", of.alias("r")).agg(F.count("*").alias("n"))
     main = stored(main.groupBy("k", "cell").agg(F.max_by("r", F.struct("n", "r")).alias("main")), "main")
     own = own.join(main, ["k", "cell"], "left").withColumn("usual", F.coalesce(of == F.col("main"), F.lit(False)))
     near = known.select(F.col("fp").alias("b"), F.col("root").alias("rb"), F.posexplode(F.transform(_halves(F.col("fp")), _near)).alias("k", "cells"))
@@ -134,11 +138,12 @@ def links(fps: DataFrame, distance: int = 3, dense: int = 64) -> DataFrame:
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, (left["k"] == right["k"]) & (left["cell"] == right["cell"]) & close & bound & exact).select("a", "b")
+        return left.join(right.hint("merge"), (left["k"] == right["k"]) & (left["cell"] == right["cell"]) & close & bound & exact).select("a", "b")
 
     few = own.filter("NOT usual").drop("usual", "main")
     most = own.filter("usual").drop("usual", "main")
-    strangers = near.join(main, ["k", "cell"]).filter(F.coalesce("rb", "b") != F.col("main")).drop("main")
+    # an outer join, as an inner one may broadcast its left side; cells without a main root go by the filter
+    strangers = near.join(main, ["k", "cell"], "left").filter(F.coalesce("main", "rb", "b") != F.coalesce("rb", "b")).drop("main")
     out = stored(first.union(met(few, near)).union(met(most, strangers)).distinct(), "links")
     release(crowd, first, known, main)
     return out
