@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..lineage import cut
 
 
 def symbol_dependents(imports: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -21,17 +22,28 @@ def symbol_dependents(imports: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def symbol_impact(imports: DataFrame, symbols: DataFrame, depth: int = 4) -> DataFrame:
-    """(file, name, user, level): direct users, and users through chains of re-exports of `depth` steps at most."""
-    carried = symbols.select(F.col("file").alias("root"), "name", "file")
-    seen, out = carried, None
-    for level in range(1, depth + 1):
-        users = symbol_dependents(imports, carried.select("file", "name").distinct()).join(carried, ["file", "name"])
-        step = users.select("root", "name", "user", F.lit(level).alias("level"))
-        out = step if out is None else out.union(step)
-        via = imports.filter("re_export AND target IS NOT NULL").select("path", "target", "imported", "uses_all")
-        hop = carried.join(via, F.col("file") == F.col("target")).filter(F.col("uses_all") | F.array_contains("imported", F.col("name")))
-        carried = hop.select("root", "name", F.col("path").alias("file")).distinct().join(seen, ["root", "name", "file"], "left_anti")
+    """(file, name, user, level): direct users, and users through chains of re-exports of `depth` steps at most.
+
+    Users and chains are both steps from a file and name to a file, so users of a level are found where the chains are,
+    once all chains are known. What is carried is cut at every step: else each plan holds the plans before it many times.
+    """
+    i = cut(imports.filter("target IS NOT NULL").select("path", "target", "imported", "uses_all", "re_export"))
+    one = i.select("path", "target", F.explode("imported").alias("name"), "re_export").distinct()
+    whole = i.filter("uses_all").select("path", "target", "re_export").distinct()
+
+    def step(at: DataFrame, named: DataFrame, all_: DataFrame) -> DataFrame:
+        by_name = at.join(named, (F.col("file") == F.col("target")) & (at["name"] == named["name"])).select("root", at["name"], "level", "path")
+        return by_name.union(at.join(all_, F.col("file") == F.col("target")).select("root", "name", "level", "path"))
+
+    carried = cut(symbols.select(F.col("file").alias("root"), "name", "file", F.lit(1).alias("level")).distinct())
+    seen = carried
+    for level in range(2, depth + 1):
+        hop = step(carried, one.filter("re_export"), whole.filter("re_export")).select("root", "name", F.col("path").alias("file"), F.lit(level).alias("level")).distinct()
+        carried = cut(hop.join(seen.select("root", "name", "file"), ["root", "name", "file"], "left_anti"))
+        if carried.isEmpty():
+            break
         seen = seen.union(carried)
+    out = step(seen, one, whole).withColumnRenamed("path", "user")
     return out.groupBy(F.col("root").alias("file"), "name", "user").agg(F.min("level").alias("level"))
 
 

@@ -16,9 +16,8 @@ from .sources.domain import table, with_ctes
 
 def _imports(spark: SparkSession, d: str) -> DataFrame:
     """Import records by file: type-only edges re-export what they import."""
-    kinds = domain.edges(spark, d).select("source", "target", F.col("type_only").alias("re_export"))
-    i = domain.import_records(spark, d).join(kinds, ["source", "target"])
-    return i.select(F.col("source").alias("path"), "target", F.array("imported").alias("imported"), "uses_all", "re_export")
+    i = domain.import_records(spark, d, "type_only")
+    return i.select(F.col("source").alias("path"), "target", F.array("imported").alias("imported"), "uses_all", F.col("type_only").alias("re_export"))
 
 
 def _symbols(spark: SparkSession, d: str) -> DataFrame:

@@ -72,11 +72,13 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("node"), F.explode(F.split("p_name", " ")).alias("name"), F.when(F.col("p_partkey") % 4 == 0, "type").otherwise("function").alias("kind"), (F.col("p_partkey") % 7 != 0).alias("is_exported"))
 
 
-def import_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, target, imported, uses_all, tier: an edge imports its source's first word; every 11th imports all."""
+def import_records(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """source, target, imported, uses_all, tier: an edge imports its source's first word; every 11th imports all.
+
+    also: further columns of the edges, for callers that would join with them again."""
     first = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"), F.split("p_name", " ")[0].alias("imported"))
     e = edges(spark, sf_dir)
-    return e.join(first, "source").select("source", "target", "imported", ((F.col("source") + F.col("target")) % 11 == 0).alias("uses_all"), "tier")
+    return e.join(first, "source").select("source", "target", "imported", ((F.col("source") + F.col("target")) % 11 == 0).alias("uses_all"), "tier", *also)
 
 
 CTES = {
