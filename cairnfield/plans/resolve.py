@@ -118,20 +118,30 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: Mapping[str, str] | N
     names = F.when(single, F.transform("imported", lambda n: F.array(n))).otherwise(F.array("imported"))
     imports = imports.withColumn("one", F.explode(names)).withColumn("imported", F.col("one")).drop("one")
     keyed = imports.withColumn("import_id", F.xxhash64("path", "source", F.array_join("imported", ","), *[c for c in ("line",) if c in imports.columns]))
+    once = keyed.dropDuplicates(["import_id"])
     own = files.select(F.col("path").alias("target")).distinct()
-    tried = keyed.select("import_id", F.posexplode(F.filter(candidates(aliases), lambda p: p.isNotNull())).alias("order", "target"))
-    found = tried.join(own, "target").groupBy("import_id").agg(F.min_by("target", "order").alias("target"))
-    one = keyed.join(found, "import_id").withColumn("method", F.lit("path"))
-    members = files.select(F.col("path").alias("target"), dirname(F.col("path")).alias("dir"))
-    if "is_test" in files.columns:
-        members = files.filter("NOT is_test").select(F.col("path").alias("target"), dirname(F.col("path")).alias("dir"))
+    tried = once.select("import_id", F.posexplode(F.filter(candidates(aliases), lambda p: p.isNotNull())).alias("order", "target"))
+    tried = tried.join(own, "target")
+    found = tried.groupBy("import_id").agg(F.min_by("target", "order").alias("target"))
+    one = once.join(found, "import_id").withColumn("method", F.lit("path")).filter("target <> path")
+    members = files.filter("NOT is_test") if "is_test" in files.columns else files
+    members = members.select(F.col("path").alias("target"), dirname(F.col("path")).alias("dir")).distinct()
     inside = F.when(F.lit(bool(go_module)) & F.col("source").startswith(go_module), F.regexp_replace(F.col("source").substr(F.lit(len(go_module) + 1), F.length("source")), "^/", "")).when(F.col("source").startswith("."), joined(dirname(F.col("path")), F.col("source")))
-    go = keyed.filter("lang = 'go'").withColumn("dir", inside).join(members.filter(F.col("target").endswith(".go")), "dir").withColumn("method", F.lit("package"))
+    go = once.filter("lang = 'go'").withColumn("dir", inside).withColumns({"known": F.lit(None).cast("string"), "method": F.lit("package")})
+    go_files = members.filter(F.col("target").endswith(".go"))
     spread = F.explode(F.array(*[F.concat(F.lit(r), F.regexp_replace("source", r"\.", "/")) for r in JAVA_ROOTS]))
-    wild = keyed.filter("lang IN ('java', 'kotlin') AND uses_all").withColumn("dir", spread).join(members.filter(F.col("target").rlike(r"\.(java|kt)$")), "dir").withColumn("method", F.lit("wildcard"))
+    wild = once.filter("lang IN ('java', 'kotlin') AND uses_all").join(found.withColumnRenamed("target", "known"), "import_id", "left").withColumn("dir", spread).withColumn("method", F.lit("wildcard"))
+    jvm_files = members.filter(F.col("target").rlike(r"\.(java|kt)$"))
+    # An import has a directory once and a directory a file once, so the expansion has no row twice, and isn't dealt out
+    # again; whether it has rows is told from the directories, of which Spark can't know how many the explode makes.
     cols = [*imports.columns, "import_id", "target", "method"]
-    hits = one.select(*cols).union(go.select(*cols)).union(wild.select(*cols)).filter("target <> path").dropDuplicates(["import_id", "target"])
-    rest = keyed.join(hits.select("import_id").distinct(), "import_id", "left_anti").select(*imports.columns, "import_id", F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("method"))
+    hits, some = one.select(*cols), one.select("import_id")
+    for found_in, inner in ((go, go_files), (wild, jvm_files)):
+        grown = found_in.join(inner.hint("merge"), "dir").filter((F.col("target") != F.col("path")) & ~F.col("target").eqNullSafe(F.col("known")))
+        hits = hits.union(grown.select(*cols))
+        least = inner.groupBy("dir").agg(F.count("*").alias("n"), F.min("target").alias("least"))
+        some = some.union(found_in.join(least.hint("merge"), "dir").filter("n > 1 OR least <> path").select("import_id"))
+    rest = keyed.join(some.distinct(), "import_id", "left_anti").select(*imports.columns, "import_id", F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("method"))
     out = hits.union(rest)
     if declared is not None:
         out = with_declared(out, declared)
