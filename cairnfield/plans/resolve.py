@@ -121,7 +121,7 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: Mapping[str, str] | N
     once = keyed.dropDuplicates(["import_id"])
     own = files.select(F.col("path").alias("target")).distinct()
     tried = once.select("import_id", F.posexplode(F.filter(candidates(aliases), lambda p: p.isNotNull())).alias("order", "target"))
-    tried = tried.join(own, "target")
+    tried = tried.join(own.hint("merge"), "target")  # Spark takes the exploded side for hardly larger than the imports, and would broadcast it
     found = tried.groupBy("import_id").agg(F.min_by("target", "order").alias("target"))
     one = once.join(found, "import_id").withColumn("method", F.lit("path")).filter("target <> path")
     members = files.filter("NOT is_test") if "is_test" in files.columns else files
