@@ -1,14 +1,15 @@
 """Import resolution: specifiers to files, by joins of candidate paths with the file table.
 
-Every strategy writes the paths that a specifier may mean, in order; one join with the files finds those that are there,
-and the first of them wins. So all files and all languages are resolved by one explode and one join.
+Every strategy writes the paths that a specifier may mean, in order; the first of them that is there wins. An import meets
+the files by what its paths have in common, their stem, so that hardly more rows than imports are dealt out; the paths
+themselves are looked up among the files of that stem. All languages are resolved by one explode and one join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import dirname
@@ -27,6 +28,8 @@ BUILTIN = {
     "rust": ("std", "core", "alloc"),
 }
 SCRIPTS = ("javascript", "typescript", "vue", "svelte")
+#: Endings that stems are without.
+ENDING = r"\.(jsx?|tsx?|mjs|cjs|vue|svelte|py|java|kt|rs)\z"
 
 
 def joined(base: Column, rest: Column) -> Column:
@@ -46,6 +49,20 @@ def _endings(p: Column, endings: Sequence[str]) -> Column:
     return F.transform(F.array(*[F.lit(e) for e in endings]), lambda e: F.concat(p, e))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _folder(p: Column) -> Column:
+    return F.regexp_replace(p, r"/(index|__init__|mod)\z", "")
+
+
+def stem(p: Column) -> Column:
+    """A path without its ending, then without the name of a directory's own module."""
+    return _folder(F.regexp_replace(p, ENDING, ""))
+
+
 def external(lang: Column, source: Column, declared: Column | None = None) -> Column:
     """Standard modules, and packages that the project declares."""
     out = F.lit(False)
@@ -56,15 +73,22 @@ def external(lang: Column, source: Column, declared: Column | None = None) -> Co
     return out if declared is None else out | declared
 
 
-def js(aliases: Mapping[str, str] | None = None) -> Column:
-    """Relative specifiers, and prefixes that the configuration maps to directories."""
+def _js_target(aliases: Mapping[str, str] | None) -> Column:
     s = F.col("source")
     target = F.when(s.startswith("."), joined(dirname(F.col("path")), s)).when(s.startswith("/"), s.substr(F.lit(2), F.length(s)))
     for prefix, base in sorted((aliases or {}).items(), key=lambda kv: -len(kv[0])):
         stem, to = prefix.rstrip("*"), base.rstrip("*")
         target = target.when(s.startswith(stem), joined(F.lit(to), s.substr(F.lit(len(stem) + 1), F.length(s))))
-    swapped = F.regexp_replace(target, r"\.js$", "")  # TypeScript sources are imported by the name they compile to
-    return F.concat(_endings(target, JS_ENDINGS), _endings(swapped, (".ts", ".tsx")))
+    return target
+
+
+def _swapped(target: Column) -> Column:
+    return F.regexp_replace(target, r"\.js$", "")  # TypeScript sources are imported by the name they compile to
+
+
+def js(aliases: Mapping[str, str] | None = None) -> Column:
+    """Relative specifiers, and prefixes that the configuration maps to directories."""
+    return _let(_js_target(aliases), lambda t: F.concat(_endings(t, JS_ENDINGS), _endings(_swapped(t), (".ts", ".tsx"))))
 
 
 def py(roots: Sequence[str] = ("", "src/")) -> Column:
@@ -108,6 +132,12 @@ def candidates(aliases: Mapping[str, str] | None = None) -> Column:
     return F.when(lang.isin(*SCRIPTS), js(aliases)).when(lang == "python", py()).when(lang.isin("java", "kotlin"), jvm()).when(lang == "rust", rs()).when(lang.isin("c", "cpp"), c()).otherwise(F.array().cast("array<string>"))
 
 
+def stems(aliases: Mapping[str, str] | None = None) -> Column:
+    """The stems of candidates(), each once; scripts' are told from the target, without writing its fifteen paths."""
+    of_scripts = _let(_js_target(aliases), lambda t: F.array(stem(t), _folder(t), t, _folder(_swapped(t))))
+    return F.array_distinct(F.when(F.col("lang").isin(*SCRIPTS), of_scripts).otherwise(F.transform(candidates(aliases), stem)))
+
+
 def resolve(imports: DataFrame, files: DataFrame, aliases: Mapping[str, str] | None = None, go_module: str = "", declared: DataFrame | None = None) -> DataFrame:
     """imports with target, tier, method, confidence and is_external; target is null where nothing was found.
 
@@ -117,48 +147,59 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: Mapping[str, str] | N
     single = (F.col("lang") == "python") & (F.size("imported") > 1)  # each name may be a module of its own
     names = F.when(single, F.transform("imported", lambda n: F.array(n))).otherwise(F.array("imported"))
     imports = imports.withColumn("one", F.explode(names)).withColumn("imported", F.col("one")).drop("one")
-    keyed = imports.withColumn("import_id", F.xxhash64("path", "source", F.array_join("imported", ","), *[c for c in ("line",) if c in imports.columns]))
-    once = keyed.dropDuplicates(["import_id"])
-    own = files.select(F.col("path").alias("target")).distinct()
-    tried = once.select("import_id", F.posexplode(F.filter(candidates(aliases), lambda p: p.isNotNull())).alias("order", "target"))
-    tried = tried.join(own.hint("merge"), "target")  # Spark takes the exploded side for hardly larger than the imports, and would broadcast it
-    found = tried.groupBy("import_id").agg(F.min_by("target", "order").alias("target"))
-    one = once.join(found, "import_id").withColumn("method", F.lit("path")).filter("target <> path")
+    keyed = imports.withColumn("import_id", F.xxhash64("path", "source", F.array_join("imported", ","), "lang", *[c for c in ("line",) if c in imports.columns]))
+    own = files.select(stem(F.col("path")).alias("stem"), "path").select("stem", F.col("path").substr(F.length("stem") + 1, F.length("path")).alias("ending"))
+    meant = keyed.select("import_id", F.explode(stems(aliases)).alias("stem")).filter("stem IS NOT NULL")
+    near = meant.join(own.hint("merge"), "stem")  # Spark takes the exploded side for hardly larger than the imports, and would broadcast it
+    near = near.groupBy("import_id").agg(F.collect_set(F.concat("stem", "ending")).alias("near"))
+    first = F.when(F.col("near").isNotNull(), F.get(F.filter(candidates(aliases), lambda p: F.array_contains("near", p)), F.lit(0)))
     members = files.filter("NOT is_test") if "is_test" in files.columns else files
     members = members.select(F.col("path").alias("target"), dirname(F.col("path")).alias("dir")).distinct()
     inside = F.when(F.lit(bool(go_module)) & F.col("source").startswith(go_module), F.regexp_replace(F.col("source").substr(F.lit(len(go_module) + 1), F.length("source")), "^/", "")).when(F.col("source").startswith("."), joined(dirname(F.col("path")), F.col("source")))
-    go = once.filter("lang = 'go'").withColumn("dir", inside).withColumns({"known": F.lit(None).cast("string"), "method": F.lit("package")})
+    flagged = (lambda df: df) if declared is None else lambda df: with_declared(df, declared, keyed, ("import_id",))
+    once = lambda langs: flagged(keyed.filter(F.col("lang").isin(*langs)).dropDuplicates(["import_id"]))
+    go = once(["go"]).withColumn("dir", inside).withColumns({"known": F.lit(None).cast("string"), "method": F.lit("package")})
     go_files = members.filter(F.col("target").endswith(".go"))
     spread = F.explode(F.array(*[F.concat(F.lit(r), F.regexp_replace("source", r"\.", "/")) for r in JAVA_ROOTS]))
-    wild = once.filter("lang IN ('java', 'kotlin') AND uses_all").join(found.withColumnRenamed("target", "known"), "import_id", "left").withColumn("dir", spread).withColumn("method", F.lit("wildcard"))
+    wild = once(["java", "kotlin"]).filter("uses_all").join(near, "import_id", "left").withColumn("known", first).withColumn("dir", spread).withColumn("method", F.lit("wildcard"))
     jvm_files = members.filter(F.col("target").rlike(r"\.(java|kt)$"))
     # An import has a directory once and a directory a file once, so the expansion has no row twice, and isn't dealt out
     # again; whether it has rows is told from the directories, of which Spark can't know how many the explode makes.
-    cols = [*imports.columns, "import_id", "target", "method"]
-    hits, some = one.select(*cols), one.select("import_id")
+    cols = [*imports.columns, *(["is_declared"] if declared is not None else []), "target", "method"]
+    grown, some = [], None
     for found_in, inner in ((go, go_files), (wild, jvm_files)):
-        grown = found_in.join(inner.hint("merge"), "dir").filter((F.col("target") != F.col("path")) & ~F.col("target").eqNullSafe(F.col("known")))
-        hits = hits.union(grown.select(*cols))
+        grown.append(found_in.join(inner.hint("merge"), "dir").filter((F.col("target") != F.col("path")) & ~F.col("target").eqNullSafe(F.col("known"))).select(*cols))
         least = inner.groupBy("dir").agg(F.count("*").alias("n"), F.min("target").alias("least"))
-        some = some.union(found_in.join(least.hint("merge"), "dir").filter("n > 1 OR least <> path").select("import_id"))
-    rest = keyed.join(some.distinct(), "import_id", "left_anti").select(*imports.columns, "import_id", F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("method"))
-    out = hits.union(rest)
-    if declared is not None:
-        out = with_declared(out, declared)
+        ids = found_in.join(least.hint("merge"), "dir").filter("n > 1 OR least <> path").select("import_id")
+        some = ids if some is None else some.union(ids)
+    # Imports are dealt out once, by their number; of equal ones that have a target, the first stands for all.
+    nth = F.row_number().over(Window.partitionBy("import_id").orderBy(F.lit(0)))
+    out = keyed.withColumn("nth", nth).join(near.hint("merge"), "import_id", "left").join(some.distinct().withColumn("has_more", F.lit(True)), "import_id", "left")
+    out = flagged(out.withColumn("target", first)).withColumn("target", F.when(F.col("target") != F.col("path"), F.col("target")))
+    out = out.filter("CASE WHEN target IS NOT NULL THEN nth = 1 ELSE has_more IS NULL END").withColumn("method", F.when(F.col("target").isNotNull(), "path")).select(*cols)
+    for more in grown:
+        out = out.union(more)
     ext = external(F.col("lang"), F.col("source"), F.col("is_declared") if declared is not None else None)
     tier = F.when(F.col("target").isNotNull(), "tier1")
-    return out.drop("import_id").withColumn("tier", tier).withColumn("confidence", F.when(F.col("target").isNotNull(), 1.0)).withColumn("is_external", F.col("target").isNull() & ext)
+    return out.withColumn("tier", tier).withColumn("confidence", F.when(F.col("target").isNotNull(), 1.0)).withColumn("is_external", F.col("target").isNull() & ext)
 
 
-def with_declared(imports: DataFrame, declared: DataFrame) -> DataFrame:
+def with_declared(imports: DataFrame, declared: DataFrame, known: DataFrame | None = None, by: Sequence[str] = ("path", "root")) -> DataFrame:
     """Whether the nearest manifest above a file declares the import's package: the directories above the file meet
-    the manifests' directories, and the deepest one with any declaration decides."""
-    parts = F.split(dirname(F.col("path")), "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    the manifests' directories, and the deepest one with any declaration decides.
+
+    Only packages that are imported meet the declarations. known are the imports to learn it from, if not the same; by
+    are columns that path and package follow from.
+    """
     root = F.regexp_extract("source", r"^(@[^/]+/[^/]+|[^/.:]+)", 1)
-    nearest = imports.select("path").distinct().select("path", F.explode(F.array_distinct(above)).alias("dir")).join(declared.select("dir").distinct(), "dir").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("dir"))
-    named = nearest.join(declared.select("dir", "name").distinct(), "dir").select("path", F.col("name").alias("root"), F.lit(True).alias("is_declared"))
-    return imports.withColumn("root", root).join(named, ["path", "root"], "left").withColumn("is_declared", F.coalesce("is_declared", F.lit(False))).drop("root")
+    wanted = (imports if known is None else known).withColumns({"root": root, "here": F.coalesce(dirname(F.col("path")), F.lit(""))}).filter("root <> ''").select(*dict.fromkeys([*by, "here", "root"]))
+    pairs = wanted.select("here", "root").distinct()
+    parts = F.split("here", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    nearest = pairs.select("here").distinct().select("here", F.explode(F.array_distinct(above)).alias("dir")).join(declared.select("dir").distinct(), "dir").groupBy("here").agg(F.max_by("dir", F.length("dir")).alias("dir"))
+    named = pairs.join(nearest, "here").join(declared.select("dir", F.col("name").alias("root")).distinct(), ["dir", "root"]).select("here", "root")
+    flags = wanted.join(named, ["here", "root"]).select(*by).distinct().withColumn("is_declared", F.lit(True))
+    return imports.withColumn("root", root).join(flags, list(by), "left").withColumn("is_declared", F.coalesce("is_declared", F.lit(False))).drop("root")
 
 
 def by_symbol(unresolved: DataFrame, exports: DataFrame, languages: Sequence[str] = ("java", "kotlin", "go", "rust", "c", "cpp")) -> DataFrame:

@@ -110,11 +110,14 @@ def j20_reuse_candidates(spark, d):
     CASE WHEN l_returnflag = 'N' THEN 'src/s' || l_suppkey || '/m' || l_partkey + 1 || '.js' WHEN l_returnflag = 'A' THEN 'src/s' || l_linenumber || '/m' || l_partkey || '.js' END AS wanted FROM lineitem)
 SELECT i.path, i.source, f.path AS target, wanted IS NULL AND source IN (SELECT 'lib' || s_suppkey FROM supplier WHERE s_acctbal > 0) AS is_external FROM i LEFT JOIN f ON f.path = wanted AND f.path <> i.path""")
 def i2_relative_imports(spark, d):
-    at = lambda s, p: F.concat(F.lit("src/s"), s, F.lit("/m"), p, F.lit(".js"))
-    lines = table(spark, d, "lineitem")
+    at = F.concat(F.lit("src/s"), "l_suppkey", F.lit("/m"), "l_partkey", F.lit(".js"))
     source = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("./m"), F.col("l_partkey") + 1)).when(F.col("l_returnflag") == "A", F.concat(F.lit("../s"), "l_linenumber", F.lit("/m"), "l_partkey")).otherwise(F.concat(F.lit("lib"), "l_suppkey"))
-    files = lines.select(at("l_suppkey", "l_partkey").alias("path")).distinct()
-    imports = lines.select(at("l_suppkey", "l_partkey").alias("path"), F.lit("javascript").alias("lang"), source.alias("source")).distinct()
+    lines, placed, flag = table(spark, d, "lineitem"), at.isNotNull(), F.col("l_returnflag")
+    files = lines.filter(placed).select("l_suppkey", "l_partkey").distinct().select(at.alias("path"))
+    # Rows are made distinct by what path and source follow from, which is shorter; without a path, by the source.
+    of = {"l_suppkey": F.col("l_suppkey"), "l_partkey": F.col("l_partkey"), "l_returnflag": F.when(flag.isin("N", "A"), flag), "l_linenumber": F.when(flag == "A", F.col("l_linenumber"))}
+    short = lines.select(*[F.when(placed, c).alias(n) for n, c in of.items()], F.when(~placed, source).alias("odd")).distinct()
+    imports = short.select(at.alias("path"), F.lit("javascript").alias("lang"), F.when(placed, source).otherwise(F.col("odd")).alias("source"))
     imports = imports.withColumns({"imported": F.array(F.lit("x")), "uses_all": F.lit(False)})
     manifest = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.lit("").alias("dir"), F.concat(F.lit("lib"), "s_suppkey").alias("name"))
     return resolve.resolve(imports, files, declared=manifest).select("path", "source", "target", "is_external")
