@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 #: What separates words, and the letters that are lower-cased.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+#: Rows that a side of a join may have to be broadcast, and so to pass through the driver.
+SMALL = 1 << 17
 
 #: Paths below the shared folder that are not deleted yet, in the order in which they were made.
 _LIVE: list[str] = []
@@ -53,6 +54,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a side of a join: over SMALL rows it is joined by merge, and else Spark decides.
+
+    Spark's size check goes by files, and keys compress: a broadcast may take over ten times its files in the driver.
+    rows: a bound of df's rows, else they are counted; for an inner join, which may broadcast the other side, a bound of
+    both. A merge join can split the rows of a frequent key where both sides are stored tables.
+    """
+    return df.hint("merge") if (df.count() if rows is None else rows) > SMALL else df
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes the files of tables made by stored(), once nothing reads them any more."""
     for df in tables:
@@ -109,19 +120,28 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     now = stored(edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges")
-    if now.isEmpty():
+    rows = now.count()
+    if not rows:
         return now.selectExpr("a AS node", "b AS root")
+    made: list[DataFrame] = []
+
+    def by_node(least: DataFrame) -> DataFrame:
+        if 2 * rows <= SMALL:  # edges never grow, so neither do the nodes at their ends
+            return least
+        made.append(stored(least, "least"))
+        return side(made[-1], 2 * rows)
+
     mark = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = by_node(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").selectExpr("b AS a", "m AS b").filter("a <> b").distinct()
         large = stored(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").selectExpr("b AS a", "m AS b").union(least.selectExpr("a", "m AS b")).distinct()
+        lower = by_node(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(lower, "a").filter("b <> m").selectExpr("b AS a", "m AS b").union(lower.selectExpr("a", "m AS b")).distinct()
         small = stored(small, "small")
-        release(now)
-        release(large)
+        release(now, large, *made)
+        made.clear()
         now = small
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row == mark:

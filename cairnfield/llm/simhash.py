@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, release, stored
+from .common import components, release, side, stored
 
 #: The lower bit of each segment, and half of a word.
 LOW, HALF = 0x5555555555555555, 0xFFFFFFFF
@@ -125,7 +125,7 @@ def links(fps: DataFrame, distance: int = 3, dense: int = 64) -> DataFrame:
     crowd = stored(own.join(counts, ["k", "cell"], "left_semi").select("fp").distinct(), "crowd")
     first = stored(_flip_links(crowd) if distance >= 2 else crowd.selectExpr("fp AS a", "fp AS b").limit(0), "flips")
     roots = components(first).withColumnRenamed("node", "fp").filter("fp <> root")
-    known = stored(fps.join(roots, "fp", "left").select("fp", "root"), "grid")  # null: its own root
+    known = stored(fps.join(side(roots), "fp", "left").select("fp", "root"), "grid")  # null: its own root
     own = known.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.posexplode(_halves(F.col("fp"))).alias("k", "cell"))
     of = F.coalesce("ra", "a")
     main = own.join(counts, ["k", "cell"], "left_semi").groupBy("k", "cell", of.alias("r")).agg(F.count("*").alias("n"))
@@ -160,11 +160,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, distance: int = 3) -> DataFrame
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     pairs = links(classes.select("fp"), distance)
     linked = components(pairs).withColumnRenamed("node", "fp")
-    rooted = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("fp", "component_id"), "components")
-    release(pairs, classes)
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = stored(classes.join(side(linked), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = stored(rooted.join(side(least, rooted.count()), "root").select("fp", "component_id"), "components")
+    release(pairs, classes, rooted, least)
+    return rows.join(side(named, rows.count()), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: Column) -> Column:
@@ -175,6 +175,8 @@ def keep_one(docs: DataFrame, n: int = 3, distance: int = 3) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id. Rows without a doc_id stay."""
     found = near_duplicates(docs, n, distance)
     kept = stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    once = docs.join(kept.filter("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.filter("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(repeated).union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    out = docs.join(side(kept.filter("rows = 1")), "doc_id", "left_semi")
+    repeated = kept.filter("rows > 1")
+    if not repeated.isEmpty():
+        out = out.union(docs.join(side(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
